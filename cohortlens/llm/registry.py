@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import content_sort_dedup, rendezvous_sharding
+from . import best_fit_packing, content_sort_dedup, rendezvous_sharding
 
 
 def queries() -> dict:
     return {
         "op2_content_sort": content_sort_dedup.op2_content_sort,
         "op4_rendezvous": rendezvous_sharding.op4_rendezvous,
+        "op5_config_lp": best_fit_packing.op5_config_lp,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, content_sort_dedup, rendezvous_sharding
+from . import best_fit_packing, content_sort_dedup, language_id, rendezvous_sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_content_sort": content_sort_dedup.op2_content_sort,
         "op4_rendezvous": rendezvous_sharding.op4_rendezvous,
         "op5_config_lp": best_fit_packing.op5_config_lp,
+        "op7_language_id": language_id.op7_language_id,
     }
 
 

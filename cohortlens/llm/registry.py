@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, content_sort_dedup, language_id, rendezvous_sharding
+from . import best_fit_packing, content_sort_dedup, language_id, pii_bootstrap, rendezvous_sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_rendezvous": rendezvous_sharding.op4_rendezvous,
         "op5_config_lp": best_fit_packing.op5_config_lp,
         "op7_language_id": language_id.op7_language_id,
+        "op10_pii": pii_bootstrap.op10_pii,
     }
 
 

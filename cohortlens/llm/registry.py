@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, content_sort_dedup, language_id, pii_bootstrap, rendezvous_sharding
+from . import best_fit_packing, content_sort_dedup, jaccard_join, language_id, pii_bootstrap, rendezvous_sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_config_lp": best_fit_packing.op5_config_lp,
         "op7_language_id": language_id.op7_language_id,
         "op10_pii": pii_bootstrap.op10_pii,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     }
 
 

@@ -39,6 +39,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+# What a candidate must look like as a whole, kind by kind.
+_FORMS = (
+    re.compile(rf"[{re.escape(_LOCAL)}]+@{_DOMAIN.pattern}"),
+    re.compile(r"[0-9]+(?:\.[0-9]+){3}"),
+    re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
+    re.compile(r"\+?[0-9(][\x20().0-9-]+[0-9]"),
+)
 
 
 def luhn(digits: str) -> bool:
@@ -50,9 +57,11 @@ def luhn(digits: str) -> bool:
 
 
 def holds(kind: str, entity: str) -> bool:
-    """Whether a string of the right form is an entity of its kind."""
+    """Whether a string is an entity of its kind."""
+    if not _FORMS[ORDER[kind]].fullmatch(entity):
+        return False
     if kind == "email":
-        return "@" in entity
+        return True
     if kind == "ip":
         return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in entity.split("."))
     digits = "".join(_DIGIT.findall(entity))

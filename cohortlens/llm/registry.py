@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, content_sort_dedup, inverted_multi_index, jaccard_join, language_id, pii_bootstrap, rendezvous_sharding
+from . import best_fit_packing, content_sort_dedup, inverted_multi_index, jaccard_join, language_id, pii_bootstrap, rendezvous_sharding, suffix_dedup
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op10_pii": pii_bootstrap.op10_pii,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op9_multi_index": inverted_multi_index.op9_multi_index,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     }
 
 

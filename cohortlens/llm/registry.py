@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, content_sort_dedup, inverted_multi_index, jaccard_join, language_id, pii_bootstrap, rendezvous_sharding, suffix_dedup
+from . import best_fit_packing, content_sort_dedup, inverted_multi_index, jaccard_join, language_id, merge_dropout, pii_bootstrap, rendezvous_sharding, suffix_dedup, tool_calls
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op9_multi_index": inverted_multi_index.op9_multi_index,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op6_merge_dropout": merge_dropout.op6_merge_dropout,
+        "op1_tool_calls": tool_calls.op1_tool_calls,
     }
 
 

@@ -6,7 +6,10 @@ from . import best_fit_packing, content_sort_dedup, inverted_multi_index, jaccar
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op2_content_sort": content_sort_dedup.op2_content_sort,
         "op4_rendezvous": rendezvous_sharding.op4_rendezvous,
         "op5_config_lp": best_fit_packing.op5_config_lp,

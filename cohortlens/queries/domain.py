@@ -309,9 +309,9 @@ def _(t):
     return own.select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("surface"))
 
 
-@query("T19_accessions", "SELECT doc_id, unnest(regexp_extract_all(text, 'password=[0-9a-f]+')) AS accession FROM documents")
+@query("T19_accessions", "SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+[.][0-9]{2}@mail[0-9]')) AS accession FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("password=[0-9a-f]+"), F.lit(0))).alias("accession"))
+    return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+[.][0-9]{2}@mail[0-9]"), F.lit(0))).alias("accession"))
 
 
 @query("T20_mention_stats", "SELECT lang, count(*) FILTER (n > 0) AS docs, CAST(sum(n) AS BIGINT) AS mentions FROM (SELECT lang, len(regexp_extract_all(text, '[Ll]icen')) AS n FROM documents) GROUP BY 1")

@@ -1,0 +1,192 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.llm import best_fit_packing as bf, inverted_multi_index as imi, language_id as li, merge_dropout as md, pii_bootstrap as pii, rendezvous_sharding as rs, tool_calls as tc
+
+SCHEMA = "doc_id long, text string"
+DATA = "/root/testdata/sf0.01"
+
+
+def test_rendezvous(spark):
+    rows = [(k, None if k % 9 == 0 else "é" * (k % 5)) for k in range(800)] + [(3, "again"), (None, "x")]
+    got = rs.shard(spark.createDataFrame(rows, SCHEMA), [1.0] * 8).collect()
+    assert len(got) == len(rows)
+    for s in range(8):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
+    assert {r.grown_shard for r in got if r.grown_shard != r.shard} == {8}
+    assert all(r.law == "key" for r in got)
+    by = Counter((r["size"], r.text_crc32) for r in got)
+    assert by == Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows)
+    heavy = rs.shard(spark.createDataFrame(rows, SCHEMA), [3.0, 1.0]).groupBy("shard").count().collect()
+    assert 0.6 < {r.shard: r["count"] for r in heavy}[0] / len(rows) < 0.9
+    assert rs.shard(spark.createDataFrame([], SCHEMA), [1.0]).collect() == []
+
+
+def test_packing_plan():
+    rng = np.random.default_rng(3)
+    histogram = Counter(int(x) for x in np.minimum(256, rng.lognormal(4, 1, 60_000) + 1))
+    plan = bf.plan_packing(histogram, 256)
+    got = Counter()
+    for n, config in plan:
+        assert sum(k * m for k, m in config.items()) <= 256
+        for k, m in config.items():
+            got[k] += n * m
+    assert got == histogram
+    least = sum(k * n for k, n in histogram.items()) / 256
+    assert sum(n for n, _ in plan) <= 1.005 * least + 1
+    assert bf.plan_packing({}, 256) == []
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["the", "Äther", "42", "\n\n", "it's", "<|endoftext|>", "  x", "漢字😀"]) for _ in range(rng.randint(0, 90)))) for k in range(150)]
+    rows += [(900, None), (901, ""), (902, "word " * 500), (7, rows[7][1])]
+    out = bf.pack_documents(spark.createDataFrame(rows, SCHEMA), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 64, with_ids=True).collect()
+    want = {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for d, t in rows}
+    places = {}
+    for r in out:
+        assert r.ids == want[r.doc_id][r.start : r.start + r.length]
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        assert r.length == 64 or r.piece == 0
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(r.length for r in out) == sum(len(want[d]) for d, _ in rows)
+    for own in places.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 64
+
+
+def test_merge_dropout(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(" ab\té\x00漢😀\n  theing") for _ in range(rng.randint(0, 80))) for _ in range(200)] + ["", "a" * 3000, "▁x ▁▁"]
+    plain, varied = md.Codec(path, 0.0, 1), md.Codec(path, 0.3, 1)
+    for k, t in enumerate(texts):
+        assert "▁" in t or plain.encode(t, k) == model.encode(t)
+        assert varied.decode(varied.encode(t, k)) == t
+    words = "there is nothing interesting here"
+    assert len({tuple(varied.encode(words, k)) for k in range(40)}) > 1
+    for chunk in ("▁interesting", "▁▁there", "abcabcab"):
+        assert varied._merge_short(chunk, 1) == varied._merge_long(chunk, 1)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(900, None), (None, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    back = md.decode(md.encode(df, path, 0.2), path).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((d, t or "") for d, t in rows)
+    assert all(r.lossless for r in md.round_trip(df, path).collect())
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = li.identify(docs.select("doc_id", "text", "lang"), li.fit(docs, per_language=120)).withColumn("out", li.held_out(F.col("doc_id")))
+    right = out.where("out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.98
+    odd = spark.createDataFrame([(1, None, None, 5.0), (2, "", "en", 1.0), (3, "123 !?", None, 0.0), (4, "le chat é", "fr", 2.0), (4, "le chat é", "fr", 2.0)], "doc_id long, text string, lang string, score double")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.identify(odd, li.fit(docs, per_language=120)).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and 0 <= got[4][1] <= 1
+    assert {r.lang_pred for r in li.identify(odd, None).collect()} == {"und"}
+
+
+def test_multi_index_recall(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(30, 16))
+    points = (centers[rng.integers(0, 30, 3000)] + 0.2 * rng.normal(size=(3000, 16))).astype(np.float32)
+    points[1000:1400] = points[1000]  # one vector of very many rows
+    rows = [(k, points[k].tolist()) for k in range(3000)] + [(3000, None), (3100, [0.0] * 16), (3200, [float("nan")] * 16), (3300, [1.0, None] + [0.0] * 14), (3400, [])]
+    got = imi.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x = points.astype(float)
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [int(k) for k in np.lexsort((np.arange(3000), d)) if k != q][:10]
+        own = sorted(found[q])
+        assert [r[0] for r in own] == list(range(1, 11))
+        assert all(abs(d[v] - s) < 1e-12 for _, v, s in own)
+        hits += len(set(want) & {v for _, v, _ in own})
+    assert hits / 300 >= 0.9 and set(found) == set(range(0, 3000, 100))
+    few = imi.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>"), F.lit(True)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in few) == [(0, 1, 1), (1, 1, 0)]
+    assert imi.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).collect() == []
+
+
+BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def brute_spans(t):
+    out = []
+    for k, expression in enumerate(BASE):
+        for m in re.finditer(expression, t):
+            digits = "".join(re.findall("[0-9]", m[0]))
+            good = [True, k == 1 and all(int(p) <= 255 for p in m[0].split(".")), 12 <= len(digits) <= 19 and pii.luhn(digits), 9 <= len(digits) <= 15][k]
+            if good:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans():
+    rng = random.Random(3)
+    for _ in range(5000):
+        t = "".join(rng.choice("a@.-+ 01259()%b1é") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(t) == brute_spans(t), t
+    assert pii.base_spans("9" * 100_000 + "@" * 100_000) == []
+
+
+def test_bootstrap_finds_swallowed_entities(spark):
+    rng = random.Random(4)
+    phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    rows = [(k, f"text before {phone()} and after") for k in range(30)] + [(100, "both +1 (269) 555-3296 45241322646528 here"), (101, None), (102, "clean text 12 of 2024, v1.2.3"), (103, "")]
+    got = {r.doc_id: r for r in pii.digest_columns(pii.find(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert len(got) == len(rows)
+    assert "phone:5:22" in got[100].spans and got[100].n_added >= 1
+    assert got[102].spans == got[101].spans == got[103].spans == ""
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert clean[0] == "text before [PHONE] and after" and clean[101] is None and clean[102] == rows[-2][1]
+    assert pii.find(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_tool_calls(spark):
+    system = '<tools>[{"name":"f","parameters":{"type":"object","required":["x"],"properties":{"x":{"type":"integer"}}}}]</tools>'
+    rows = [
+        (1, 0, "system", system),
+        (1, 1, "assistant", 'hi<tool_call>{"id":"b","name":"f","arguments":{"x":{"$ref":"a"}}}</tool_call><tool_call>{"id":"a","name":"f","arguments":{"x":1.0}}</tool_call>'),
+        (1, 2, "tool", '<tool_result>{"id":"a","content":{"b":1,"a":2}}</tool_result>'),
+        (1, 3, "tool", '<tool_result>{"id":"zz","content":1}</tool_result>'),
+        (2, 0, None, None),
+        (2, 1, "assistant", "<tool_call>{bad</tool_call>"),
+        (3, 0, "assistant", '<tool_call>{"id":"p","name":"g","arguments":{"y":{"$ref":"q"}}}</tool_call>'),
+        (3, 1, "assistant", '<tool_call>{"id":"q","name":"g","arguments":{"y":{"$ref":"p"}}}</tool_call>'),
+    ]
+    out = tc.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    calls = {(r.conv_id, r.id): r for r in out["calls"].collect()}
+    assert calls[1, "a"].level == 0 and calls[1, "a"].linked and calls[1, "a"].valid
+    assert calls[1, "b"].level == 1 and not calls[1, "b"].linked and not calls[1, "b"].valid
+    assert calls[3, "p"].level == calls[3, "q"].level == -1
+    assert [(r.conv_id, r.id) for r in out["orphans"].collect()] == [(1, "zz")]
+    messages = {(r.conv_id, r.turn): r for r in out["messages"].collect()}
+    assert len(messages) == len(rows)
+    assert messages[1, 1].message == '{"content":"hi","role":"assistant","tool_calls":[{"arguments":{"x":1},"id":"a","name":"f"},{"arguments":{"x":{"$ref":"a"}},"id":"b","name":"f"}]}'
+    assert messages[2, 0].message == '{"content":null,"role":null}' and messages[2, 1].malformed == 1
+
+
+@pytest.mark.parametrize("value,schema,errors", [({"x": 1}, {"type": "object", "additionalProperties": False}, 1), ([1, "a"], {"items": {"type": "number"}}, 1), (True, {"type": "integer"}, 1), ("ab", {"pattern": "^a", "maxLength": 2}, 0), (None, {"type": ["string", "null"]}, 0), (5, {"minimum": 6}, 1)])
+def test_validate(value, schema, errors):
+    assert len(tc.validate(value, schema)) == errors

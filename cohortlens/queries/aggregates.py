@@ -6,13 +6,6 @@ from ..functions import semantics as sem
 from ..operators import sampling, stats, windows
 from .registry import query
 
-DATE = F.to_date("o_orderdate")
-MONEY = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
-
-
-def money(c):
-    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
-
 
 @query("A1_count", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
 def _(t):

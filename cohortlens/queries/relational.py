@@ -7,7 +7,10 @@ from ..operators import joins, patch, reshape
 from .registry import query
 
 # A label with blanks and nulls, in both engines alike.
-LABEL = F.when(F.col("p_size") % 7 == 0, None).when(F.col("p_size") % 7 == 1, "").otherwise(F.col("p_type"))
+def label():
+    return F.when(F.col("p_size") % 7 == 0, None).when(F.col("p_size") % 7 == 1, "").otherwise(F.col("p_type"))
+
+
 SQL_LABEL = "CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 7 = 1 THEN '' ELSE p_type END"
 
 
@@ -39,7 +42,7 @@ def _(t):
 
 @query("P6_if_else", f"SELECT p_partkey, CASE WHEN l = '' THEN 'blank' WHEN NOT (l = '') THEN 'named' END AS kind FROM (SELECT p_partkey, {SQL_LABEL} AS l FROM part)")
 def _(t):
-    return t.part.select("p_partkey", if_else(LABEL == "", F.lit("blank"), F.lit("named")).alias("kind"))
+    return t.part.select("p_partkey", if_else(label() == "", F.lit("blank"), F.lit("named")).alias("kind"))
 
 
 @query("P7_case_when", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' END AS size_class FROM part")
@@ -49,17 +52,17 @@ def _(t):
 
 @query("P8_filter", f"SELECT p_partkey FROM part WHERE {SQL_LABEL} <> 'x' AND p_size > 30")
 def _(t):
-    return t.part.where((LABEL != "x") & (F.col("p_size") > 30)).select("p_partkey")
+    return t.part.where((label() != "x") & (F.col("p_size") > 30)).select("p_partkey")
 
 
 @query("P9_in", f"SELECT p_partkey, coalesce({SQL_LABEL} IN ('', 'ECONOMY'), false) AS hit FROM part")
 def _(t):
-    return t.part.select("p_partkey", is_in(LABEL, ["", "ECONOMY"]).alias("hit"))
+    return t.part.select("p_partkey", is_in(label(), ["", "ECONOMY"]).alias("hit"))
 
 
 @query("P10_not_in", f"SELECT p_partkey FROM part WHERE NOT coalesce({SQL_LABEL} IN ('', 'ECONOMY'), false)")
 def _(t):
-    return t.part.where(not_in(LABEL, ["", "ECONOMY"])).select("p_partkey")
+    return t.part.where(not_in(label(), ["", "ECONOMY"])).select("p_partkey")
 
 
 @query("P11_regex_predicate", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e') OR contains(text, '@')")
@@ -81,7 +84,7 @@ def _(t):
 def _(t):
     from ..functions.semantics import has_content
 
-    return t.part.select("p_partkey", LABEL.isNull().alias("missing"), has_content(LABEL).alias("content"))
+    return t.part.select("p_partkey", label().isNull().alias("missing"), has_content(label()).alias("content"))
 
 
 @query("P15_group_filter", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 5)")
@@ -92,7 +95,7 @@ def _(t):
 
 @query("P16_unite", f"SELECT p_partkey, concat_ws(', ', l, p_brand) AS united FROM (SELECT *, {SQL_LABEL} AS l FROM part)")
 def _(t):
-    return reshape.unite(t.part.withColumn("l", LABEL), "united", ["l", "p_brand"]).select("p_partkey", "united")
+    return reshape.unite(t.part.withColumn("l", label()), "united", ["l", "p_brand"]).select("p_partkey", "united")
 
 
 @query("P17_constants", "SELECT r_regionkey, r_name, 'catalog' AS origin, 2025 AS release FROM region")

@@ -35,7 +35,10 @@ from .common import Workspace, partitions, read_table
 
 WORDS = 5
 PERCENT = 75
-BLOCK = 256
+# A task verifies no more sets and elements than this at once.
+BLOCK, BLOCK_ELEMENTS = 2048, 2_000_000
+# A set joins the cluster of a head that it shares this part of the shorter prefix with.
+NEAR = 0.2
 CHUNK_DOCS, CHUNK_SHINGLES = 4000, 4_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -327,13 +330,30 @@ def verify(docs: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> l
     many = np.bincount(column)[column] >= 2 if len(flat) else np.zeros(0, bool)
     owner, column = owner[many], column[many]
     both = np.zeros((k, k), np.float32)
+    if len(column):
+        start = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+        size = np.diff(np.append(start, len(column)))
+        # Elements of few sets: their pairs one by one, by number of sets.
+        for few in range(2, 33):
+            own = start[size == few]
+            if len(own):
+                sets_of = owner[own[:, None] + np.arange(few)]
+                a, b = np.triu_indices(few, 1)
+                pairs = (sets_of[:, a].astype(np.int64) * k + sets_of[:, b]).ravel()
+                cells, n = np.unique(pairs, return_counts=True)
+                both[cells // k, cells % k] += n
+                both[cells % k, cells // k] += n
+        # Elements of many: as a product of matrices, some columns at a time.
+        many = np.repeat(size > 32, size)
+        owner, column = owner[many], column[many]
     if len(column):
         column = np.cumsum(np.append(False, column[1:] != column[:-1]))
-        for s in range(0, int(column[-1]) + 1, 8192):
-            i, j = np.searchsorted(column, [s, s + 8192])
-            part = np.zeros((k, 8192), np.float32)
+        for s in range(0, int(column[-1]) + 1, 4096):
+            i, j = np.searchsorted(column, [s, s + 4096])
+            part = np.zeros((k, 4096), np.float32)
             part[owner[i:j], column[i:j] - s] = 1
             both += part @ part.T
+    np.fill_diagonal(both, 0)
     inter = np.rint(both).astype(np.int64)
     link = (100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)) & (inter > 0)
     label = np.arange(k)
@@ -366,20 +386,42 @@ def _links(dealt: DataFrame, percent: int) -> DataFrame:
                 if docs and docs[-1] == doc:
                     continue
                 docs.append(doc)
-                sets.append(np.frombuffer(raw.as_py(), np.uint64))
+                sets.append(_elements(raw.as_py()))
         if docs:
             yield out()
 
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def _element_table(source: DataFrame) -> DataFrame:
+def _deal_sets(joined: DataFrame) -> DataFrame:
+    """Each document's elements, for each of its tasks. 48 bits of an element tell those of one task apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc", "elements"])
+            rows, size = [], 0
+            for doc, text, tasks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                raw = shingle_set(text.as_py()).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+                rows += [(task, doc, raw) for task in tasks]
+                size += len(raw) * len(tasks)
+                if size > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    kinds, names = [pa.string(), pa.int64(), pa.binary()], ["task", "doc", "elements"]
+    return joined.mapInArrow(run, "task string, doc long, elements binary")
+
 
-    return source.mapInArrow(run, "doc long, elements binary")
+def _elements(raw: bytes) -> np.ndarray:
+    """Sorted elements of a document as dealt."""
+    own = np.zeros((len(raw) // 6, 8), np.uint8)
+    own[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return np.sort(own.reshape(-1).view(np.uint64))
+
+
+def _least_shared(percent: int, n: str, m: str, slack: str, other_slack: str):
+    """Prefix elements that linked sets share at least: of the set whose prefix ends first, all common ones but those behind its prefix."""
+    return F.ceil(F.lit(percent / (100 + percent)) * (F.col(n) + F.col(m)) - 1e-9) - F.greatest(slack, other_slack)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,34 +445,49 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
     lists = work.keep(_lists(_postings(source, held, boundary, percent), parts), "lists")
     work.release()
 
-    votes = lists.groupBy("doc", "head").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("slack").alias("slack"))
-    chosen = votes.groupBy("doc").agg(F.max(F.struct("c", (-F.col("head")).alias("minus"))).alias("best"), F.first("n").alias("n"), F.first("slack").alias("slack"))
-    chosen = work.keep(chosen.select("doc", "n", "slack", (-F.col("best.minus")).alias("cluster")), "chosen")
+    sizes = work.keep(lists.groupBy("doc").agg(F.first("n").alias("n"), F.first("slack").alias("slack")), "sizes")
+    votes = lists.where("doc <> head").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("c"))
+    of_head = sizes.select(F.col("doc").alias("head"), F.col("n").alias("head_n"), F.col("slack").alias("head_slack"))
+    near = F.least(F.col("n") - F.col("slack"), F.col("head_n") - F.col("head_slack")) * NEAR
+    # A set that is near no head is a cluster of its own.
+    votes = votes.join(sizes, "doc").join(of_head, "head").where(F.col("c") >= near)
+    best = votes.groupBy("doc").agg(F.max(F.struct("c", (-F.col("head")).alias("minus"))).alias("best"))
+    chosen = work.keep(sizes.join(best, "doc", "left").select("doc", "n", "slack", F.coalesce(-F.col("best.minus"), "doc").alias("cluster")), "chosen")
     clusters = work.keep(chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("slack").alias("slack")), "clusters")
     members = lists.select("key", "doc").join(chosen.join(clusters.select("cluster", "lo", "hi"), "cluster").select("doc", "cluster", "lo", "hi"), "doc")
     pairs = _cluster_pairs(members, parts, percent).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     side = lambda x: clusters.select(*[F.col(c).alias(f"{x}_{c}" if c != "cluster" else x) for c in clusters.columns])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    # Of two single sets, the one whose prefix ends first shares all but what lies behind it.
-    least = F.ceil(F.lit(percent / (100 + percent)) * (F.col("a_lo") + F.col("b_lo")) - 1e-9) - F.greatest("a_slack", "b_slack")
-    pairs = pairs.where((F.col("a_size") > 1) | (F.col("b_size") > 1) | (F.col("shared") >= least))
-    own = clusters.where("size > 1").select(F.col("cluster").alias("a"), F.col("cluster").alias("b"), F.col("size").alias("a_size"), F.col("size").alias("b_size"))
-    pairs = work.keep(pairs.select("a", "b", "a_size", "b_size").unionByName(own), "pairs")
-
-    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
-    tasks = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), blocks("a_size") - 1)).alias("i"), "b_size")
-    tasks = tasks.select("a", "b", "i", F.explode(F.sequence(F.lit(0), blocks("b_size") - 1)).alias("j")).where("a <> b or i <= j")
+    # Clusters share all lists that a linked pair of their members shares.
+    pairs = pairs.where(F.col("shared") >= _least_shared(percent, "a_lo", "b_lo", "a_slack", "b_slack"))
+    own = clusters.where("size > 1").select(F.col("cluster").alias("a"), F.col("cluster").alias("b"), F.col("size").alias("a_size"), F.col("size").alias("b_size"), F.col("hi").alias("a_hi"), F.col("hi").alias("b_hi"))
+    pairs = work.keep(pairs.select("a", "b", "a_size", "b_size", "a_hi", "b_hi").unionByName(own), "pairs")
+
+    # Clusters that candidate pairs connect, if they are few sets together, are one task: each set travels once.
+    # Others are dealt in pairs of blocks.
+    groups = connected_components(pairs.where("a <> b"), lambda df, name: work.keep(df, f"groups_{name}"), "a", "b")
+    touched = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "cluster")
+    touched = touched.join(clusters, "cluster").join(groups.withColumnRenamed("node", "cluster"), "cluster", "left")
+    touched = touched.withColumn("component", F.coalesce("component", "cluster"))
+    small = touched.groupBy("component").agg(F.sum("size").alias("sets"), F.sum(F.col("size") * F.col("hi")).alias("elements"))
+    small = small.select("component", ((F.col("sets") <= BLOCK) & (F.col("elements") <= BLOCK_ELEMENTS)).alias("small"))
+    touched = work.keep(touched.join(small, "component").select("cluster", "size", "hi", "component", "small"), "touched")
+    together = chosen.join(touched.where("small"), "cluster").select(F.concat(F.lit("c"), "component").alias("task"), "doc")
+
+    # Two blocks meet in a task: half of each bound.
+    blocks = lambda size, hi: F.greatest(F.ceil(F.col(size) * 2 / BLOCK), F.ceil(F.col(size) * F.col(hi) * 2 / BLOCK_ELEMENTS)).cast("int")
+    large = touched.where("not small").select(F.col("cluster").alias("a"))
+    tasks = pairs.join(large, "a").select("a", "b", F.explode(F.sequence(F.lit(0), blocks("a_size", "a_hi") - 1)).alias("i"), "b_size", "b_hi")
+    tasks = tasks.select("a", "b", "i", F.explode(F.sequence(F.lit(0), blocks("b_size", "b_hi") - 1)).alias("j")).where("a <> b or i <= j")
     task = F.concat_ws(":", "a", "i", "b", "j").alias("task")
     wanted = tasks.select(task, F.col("a").alias("cluster"), F.col("i").alias("block")).unionByName(tasks.where("a <> b or i <> j").select(task, F.col("b").alias("cluster"), F.col("j").alias("block")))
-    placed = chosen.join(clusters.select("cluster", "size"), "cluster").select("doc", "cluster", F.pmod(F.xxhash64("doc"), blocks("size")).cast("int").alias("block"))
-    wanted = work.keep(wanted.join(placed, ["cluster", "block"]).select("task", "doc"), "wanted")
+    placed = chosen.join(touched.where("not small"), "cluster").select("doc", "cluster", F.pmod(F.xxhash64("doc"), blocks("size", "hi")).cast("int").alias("block"))
+    wanted = wanted.join(placed, ["cluster", "block"]).select("task", "doc").unionByName(together)
+    wanted = work.keep(wanted.groupBy("doc").agg(F.collect_set("task").alias("tasks")), "wanted")
 
-    involved = wanted.select(F.col("doc").alias("doc_id")).distinct()
-    elements = work.keep(_element_table(source.join(involved, "doc_id", "left_semi")), "elements", "none")
-    work.release()
-    dealt = wanted.join(elements, "doc").select("task", "doc", "elements").repartition(parts, "task").sortWithinPartitions("task", "doc")
-    links = work.keep(_links(dealt, percent), "links")
-    work.drop("elements", "lists", "wanted")
+    dealt = _deal_sets(source.join(wanted.withColumnRenamed("doc", "doc_id").hint("merge"), "doc_id").select("doc_id", "text", "tasks"))
+    links = work.keep(_links(dealt.repartition(parts, "task").sortWithinPartitions("task", "doc"), percent), "links")
+    work.drop("lists", "wanted")
     work.release()
 
     sets = profile.where("kind = 0")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import per_process, read_table
 
 SPACE = "▁"
-VARIANTS = 4
+VARIANTS = 2
 CACHED = 1_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -153,17 +153,18 @@ class Codec:
         if not text:
             return out
         cache, rate = self.cache, bool(self.limit)
-        state = (key * 0x9E3779B97F4A7C15 + self.seed) & (2**64 - 1)
-        variant = 0
+        # Bits of the document's hash choose the variants of its words in turn.
+        bits = ((key * 0x9E3779B97F4A7C15 + self.seed * 0xD6E8FEB86659FD93) & (2**64 - 1)) * 0xA0761D6478BD642F >> 3 if rate else 0
+        choice = [bits >> k & 1 for k in range(61)]
+        place = variant = 0
         for k, segment in enumerate(text.split(SPACE)):
             if k:
                 out += [self.bytes[b] for b in SPACE.encode()]
             else:
                 segment = " " + segment
             for chunk in _CHUNK.findall(segment.replace(" ", SPACE)):
-                if rate:
-                    state = (state * 6364136223846793005 + 1442695040888963407) & (2**64 - 1)
-                    variant = state >> 62
+                variant = choice[place]
+                place = place + 1 if place < 60 else 0
                 found = cache.get((chunk, variant))
                 if found is None:
                     found = self.chunk_ids(chunk, variant)

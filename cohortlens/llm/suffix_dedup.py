@@ -63,11 +63,15 @@ def _finish(v: np.ndarray) -> np.ndarray:
 
 
 def extents(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Of texts laid end to end (``starts``, ``ends`` in ``raw``): place of the text, anchor's hash, extent's hash, first window, number of windows."""
+    """Of texts laid end to end (``starts``, ``ends`` in ``raw``): place of the text, anchor's hash, extent's hash, first window, number of windows, sides.
+
+    sides: 15 bits of a hash of the bytes before the anchor and as many of those behind it, half of what a
+    window has besides the anchor; 0 where the text has fewer. Equal windows agree on one side at least.
+    """
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     p1, i1, p2, i2 = _powers(n + 1)
     symbol = raw.astype(np.uint64) + np.uint64(1)
     sum1 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbol * p1[:n], dtype=np.uint64)])
@@ -86,22 +90,29 @@ def extents(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     text = np.repeat(np.arange(len(starts)), sizes)
     window = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[text]
     if not len(window):
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     own = anchor[window]
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])]))
     count = np.diff(np.append(first, len(window)))
     begin = window[first]
     size = count + length - 1
     whole = _finish((sum2[begin + size] - sum2[begin]) * i2[begin] + size.astype(np.uint64))
-    return text[first], grams[own[first]], whole, begin - starts[text[first]], count
+    half = -(-(length - gram) // 2)
+    sides = np.zeros(len(first), np.int64)
+    for at in (own[first] - half, own[first] + gram):
+        inside = (at >= starts[text[first]]) & (at + half <= ends[text[first]])
+        k = np.where(inside, at, 0)
+        print_ = (_finish((sum2[k + half] - sum2[k]) * i2[k]) >> np.uint64(49)).astype(np.int64) % 32767 + 1
+        sides = (sides << 15) | np.where(inside, print_, 0)
+    return text[first], grams[own[first]], whole, begin - starts[text[first]], count, sides
 
 
-_ROW = "key long, extent long, doc long, start int, count int, gone boolean"
+_ROW = "key long, extent long, doc long, start int, count int, sides int, gone boolean"
 
 
 def _scan(source: DataFrame, length: int) -> DataFrame:
     """Extents, the earliest of equal ones in a task's batch; of the others only where they lie (gone)."""
-    names = ["key", "extent", "doc", "start", "count", "gone"]
+    names = ["key", "extent", "doc", "start", "count", "sides", "gone"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +127,14 @@ def _scan(source: DataFrame, length: int) -> DataFrame:
                     stop += 1
                 lengths = np.array([len(t) for t in texts[k:stop]], np.int64)
                 ends = np.cumsum(lengths)
-                at, key, extent, start, count = extents(np.frombuffer(b"".join(texts[k:stop]), np.uint8), ends - lengths, ends, length)
-                found.append((docs[k:stop][at], key, extent, start, count))
+                at, key, extent, start, count, sides = extents(np.frombuffer(b"".join(texts[k:stop]), np.uint8), ends - lengths, ends, length)
+                found.append((docs[k:stop][at], key, extent, start, count, sides))
                 k = stop
             if not found:
                 continue
-            doc, key, extent, start, count = (np.concatenate([f[i] for f in found]) for i in range(5))
+            doc, key, extent, start, count, sides = (np.concatenate([f[i] for f in found]) for i in range(6))
             order = np.lexsort((start, doc, extent, key))
-            doc, key, extent, start, count = (c[order] for c in (doc, key, extent, start, count))
+            doc, key, extent, start, count, sides = (c[order] for c in (doc, key, extent, start, count, sides))
             same = np.append(False, (key[1:] == key[:-1]) & (extent[1:] == extent[:-1]))[: len(key)]
             first = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
             gone = (doc != doc[first]) | (start != start[first])  # else it is the earliest, or a repeated row of it
@@ -141,7 +152,7 @@ def _scan(source: DataFrame, length: int) -> DataFrame:
                 d, s, e = d[f], s[f], np.append(reach[f[1:] - 1], reach[-1])
             here = ~gone & ~same
             columns = [np.concatenate([key[here].view(np.int64), d * 0x9E3779B1]), np.concatenate([extent[here].view(np.int64), np.zeros(len(d), np.int64)]), np.concatenate([doc[here], d])]
-            columns += [np.concatenate([start[here], s]).astype(np.int32), np.concatenate([count[here], e - s]).astype(np.int32), np.concatenate([np.zeros(here.sum(), bool), np.ones(len(d), bool)])]
+            columns += [np.concatenate([start[here], s]).astype(np.int32), np.concatenate([count[here], e - s]).astype(np.int32), np.concatenate([sides[here], np.zeros(len(d), np.int64)]).astype(np.int32), np.concatenate([np.zeros(here.sum(), bool), np.ones(len(d), bool)])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return source.mapInArrow(run, _ROW)
@@ -158,13 +169,13 @@ def _compare_extents(rows: DataFrame, parts: int, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(np.full(len(key), fragment))], names)
 
     def several(own):
-        """Of the earliest extents, those whose key has more than one."""
-        key = own[0]
-        if not len(key):
-            return out(*own[:1], own[2], own[3], own[4], True)
-        new = np.append(True, key[1:] != key[:-1])
-        size = np.diff(np.append(np.flatnonzero(new), len(key)))
-        many = (size > 1)[np.cumsum(new) - 1]
+        """Of the earliest extents, those that agree on a side with another of their key."""
+        key, sides = own[0], own[5]
+        run = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]).astype(np.int64)
+        many = np.zeros(len(key), bool)
+        for side in (sides >> 15, sides & 32767):
+            _, at, n = np.unique(run << 15 | side, return_inverse=True, return_counts=True)
+            many |= (n[at] > 1) & (side > 0)
         return out(key[many], own[2][many], own[3][many], own[3][many] + own[4][many] + length - 1, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +183,7 @@ def _compare_extents(rows: DataFrame, parts: int, length: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             gone = own.pop()
             yield out(own[0][gone], own[2][gone], own[3][gone], own[3][gone] + own[4][gone], False)
             own = [c[~gone] for c in own]
@@ -209,12 +220,15 @@ class _Columns:
         self.kinds = {"symbol": np.uint8, "prefix": np.uint8}
 
     def write(self, **columns: np.ndarray) -> None:
+        # New names each round: a file that is written over would be forced to the disk.
         for name, values in columns.items():
-            values.tofile(os.path.join(self.folder, f"{name}{self.round % 2}"))
+            values.tofile(os.path.join(self.folder, f"{name}{self.round}"))
+            if self.round:
+                os.unlink(os.path.join(self.folder, f"{name}{self.round - 1}"))
         self.round += 1
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(os.path.join(self.folder, f"{name}{(self.round - 1) % 2}"), kind) for name, kind in self.kinds.items()]
+        return [np.fromfile(os.path.join(self.folder, f"{name}{self.round - 1}"), kind) for name, kind in self.kinds.items()]
 
 
 def _range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -251,53 +265,49 @@ def suffix_order(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.ndar
         return np.where(inside, flat[np.where(inside, at, 0)] + 1 if len(flat) else 0, 0).astype(np.uint8)
 
     columns = _Columns(folder)
-    owner, size = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+    names = np.arange(m, dtype=np.int32) << 8  # string and length of the suffix
     columns.write(symbol=symbol(np.arange(m), 0), prefix=np.zeros(m, np.uint8))
     place = np.arange(m)  # of the suffix that each string inserted last
     for j in range(1, int(lengths.max(initial=0)) + 1):
         before, prefix = columns.read()
         active = np.flatnonzero(lengths >= j)
+        tail = place[active]
         order = np.argsort(before, kind="stable")
         inverse = np.empty(len(order), np.int64)
         inverse[order] = np.arange(len(order))
         ended = int(np.count_nonzero(before == 0))
-        k = inverse[place[active]]
+        k = inverse[tail]
         new = m + k - ended  # behind the empty suffixes, in order of the first symbol
         total = len(before) + len(active)
-        here = np.zeros(total, bool)
-        here[new] = True
-        nxt_symbol, nxt_prefix = np.empty(total, np.uint8), np.empty(total, np.uint8)
-        nxt_owner, nxt_size = np.empty(total, np.int32), np.empty(total, np.uint8)
-        for nxt, old in ((nxt_symbol, before), (nxt_prefix, prefix), (nxt_owner, owner), (nxt_size, size)):
-            nxt[~here] = old
-        nxt_symbol[new], nxt_owner[new], nxt_size[new] = symbol(active, j), active, j
-        # Common prefixes: one more than the least between the places of the two tails.
-        own = before[place[active]]
-        for step in (-1, 1):
-            other = k + step
-            inside = (other >= 0) & (other < len(order))
-            inside[inside] = before[order[other[inside]]] == own[inside]
-            tail, near = place[active][inside], order[other[inside]]
-            least = _range_minimum(prefix, np.minimum(tail, near) + 1, np.maximum(tail, near) + 1)
-            shared = np.zeros(len(active), np.uint8)
-            shared[inside] = np.minimum(least, 254) + 1
-            if step < 0:
-                nxt_prefix[new] = shared
-            else:
-                nxt_prefix[new[inside] + 1] = shared[inside]
+        old = np.ones(total, bool)
+        old[new] = False
+        moved = np.flatnonzero(old)
+        nxt_symbol, nxt_prefix, nxt_names = np.empty(total, np.uint8), np.empty(total, np.uint8), np.empty(total, np.int32)
+        nxt_symbol[moved], nxt_prefix[moved], nxt_names[moved] = before, prefix, names
+        nxt_symbol[new], nxt_names[new] = symbol(active, j), (active << 8) + j
+        # Common prefixes with both neighbours: one more than the least between the places of the tails.
+        own = before[tail]
+        up, down = k > 0, k < len(order) - 1
+        up[up] = before[order[k[up] - 1]] == own[up]
+        down[down] = before[order[k[down] + 1]] == own[down]
+        lo = np.concatenate([order[k[up] - 1], tail[down]]) + 1
+        hi = np.concatenate([tail[up], order[k[down] + 1]]) + 1
+        least = np.minimum(_range_minimum(prefix, lo, hi), 254) + 1
+        nxt_prefix[new] = 0
+        nxt_prefix[new[up]] = least[: int(up.sum())]
+        nxt_prefix[new[down] + 1] = least[int(up.sum()) :]
         columns.write(symbol=nxt_symbol, prefix=nxt_prefix)
-        owner, size = nxt_owner, nxt_size
+        names = nxt_names
         # The last suffix of every string moves with what is inserted before it.
-        moved = np.flatnonzero(~here)
         place = moved[place]
         place[active] = new
-    return owner, size, columns.read()[1]
+    return (names >> 8).astype(np.int64), (names & 255).astype(np.uint8), columns.read()[1]
 
 
-def repeated_windows(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
-    """(doc, start) of each window of ``length`` bytes in the strings that also starts earlier, by (doc, start)."""
+def repeated_windows(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, starts and stops of what windows of ``length`` bytes that also start earlier, by (doc, start), cover."""
     if len(strings) < 2:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     with tempfile.TemporaryDirectory() as folder:
         owner, size, prefix = suffix_order(strings, folder)
     long = np.flatnonzero(size >= length)
@@ -307,12 +317,17 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, starts: np.ndarray,
     doc, start = docs[owner[long]], starts[owner[long]] + lengths[owner[long]] - size[long]
     order = np.lexsort((start, doc, group))
     group, doc, start = group[order], doc[order], start[order]
-    again = np.append(False, group[1:] == group[:-1]) if len(group) else np.zeros(0, bool)
-    # The same place in two overlapping fragments is one occurrence.
-    same = again & np.append(False, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])) if len(group) else again
-    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(group)))) if len(group) else group
-    earliest = (doc == doc[first]) & (start == start[first])
-    return list(zip(doc[again & ~same & ~earliest].tolist(), start[again & ~same & ~earliest].tolist()))
+    again = np.append(False, group[1:] == group[:-1])[: len(group)]
+    # The earliest of a group stays, in however many overlapping fragments it lies.
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(group))))
+    gone = (doc != doc[first]) | (start != start[first])
+    doc, start = doc[gone], start[gone]
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))[: len(doc)]
+    f = np.flatnonzero(new)
+    last = np.append(f[1:], len(doc))[: len(f)] - 1
+    return doc[f], start[f], start[last] + length
 
 
 def _cut_fragments(joined: DataFrame) -> DataFrame:
@@ -334,9 +349,9 @@ def _compare_windows(fragments: DataFrame, parts: int, length: int) -> DataFrame
         rows: list[tuple] = []
 
         def flush(n):
-            found = repeated_windows([r[2] for r in rows[:n]], np.array([r[0] for r in rows[:n]], np.int64), np.array([r[1] for r in rows[:n]], np.int64), length)
+            doc, start, stop = repeated_windows([r[2] for r in rows[:n]], np.array([r[0] for r in rows[:n]], np.int64), np.array([r[1] for r in rows[:n]], np.int64), length)
             del keys[:n], rows[:n]
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[1] + length for f in found], pa.int32())], ["doc", "start", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc", "start", "stop"])
 
         for batch in batches:
             keys += batch.column(0).to_pylist()

@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding with seeded merge-dropout (operator 6).
 
 Encoding processes an agenda of candidate merges, best score first and leftmost among equals. With dropout,
-each candidate is skipped when a keyed hash of (seed, variant, left, right, place) falls below the rate, so
-a text's segmentation depends on the seed alone and not on tasks or order. The variant is one of
-``VARIANTS``, by a hash of document and place: the same word is cut in several ways across a corpus, and
-each way is computed once a process. At rate 0 the ids are those of the library.
+each candidate of each occurrence of a word is skipped by a draw of its own. The draws are gaps between
+skips, geometric by the rate, from a hash of (seed, document, place of the word, number of the skip), so a
+text's segmentation depends on seed, id and text, not on tasks, order or caches. What a process keeps is a
+tree for each short word: its ids without skips, and below them the ids for each set of skips met so far;
+any set that isn't there is computed. At rate 0 the ids are those of the library.
 
 Decoding is lossless: characters without a piece, and a literal U+2581, are written as bytes. Merges never
 cross the start of a word, as no piece of the vocabulary goes on beyond one.
@@ -15,11 +16,12 @@ text. Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,25 +31,33 @@ from pyspark.sql import functions as F
 from .common import per_process, read_table
 
 SPACE = "▁"
-VARIANTS = 2
-CACHED = 1_000_000
+# Words and nodes of skips kept in a process, and draws in the table of gaps; none changes a result.
+CACHED = 700_000
+CACHED_SKIPS = 300_000
+_DRAWS = 4096
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 _NONE = float("-inf")
 
 
-def _key(piece: str) -> int:
-    import xxhash
+_WORD = 2**64 - 1
+_PLACE, _SKIP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
-    return xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) & 0xFFFFFF
 
+def _mix(x):
+    """The finaliser of splitmix64, for an int below 2**64 or an array of uint64."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _WORD
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _WORD
+    return x ^ (x >> 31)
 
-class _Keys(dict):
-    """Hashes of pieces; those of single characters outside the vocabulary as they come."""
 
-    def __missing__(self, piece: str) -> int:
-        return _key(piece)
+def _bits(skips: int) -> Iterator[int]:
+    """Places of the set bits, ascending."""
+    while skips:
+        low = skips & -skips
+        yield low.bit_length() - 1
+        skips ^= low
 
 
 class Codec:
@@ -71,48 +81,71 @@ class Codec:
             elif not (model.is_control(k) or model.is_unknown(k)):
                 self.ids[piece], self.score[piece] = k, model.get_score(k)
                 self.raw[k] = piece.replace(SPACE, " ").encode()
-        self.limit = int(rate * 2**16)
-        words = b"".join(hashlib.blake2b(k.to_bytes(4, "little"), key=seed.to_bytes(8, "little", signed=True), digest_size=64).digest() for k in range(2048))
-        self.table = np.frombuffer(words, "<u2").tolist()
-        self.keys = _Keys((piece, _key(piece)) for piece in self.score)
-        self.variant_keys = [_key(f"{seed}:{v}") for v in range(VARIANTS)]
-        self.cache: dict[tuple[str, int], tuple[int, ...]] = {}
-
-    def skips(self, left: str, right: str, place: int, variant: int) -> bool:
-        """Tabulation hash: a keyed table of 65,536 values, entered by the hashes of the pieces, place and variant."""
-        return self.table[(self.keys[left] + 31 * self.keys[right] + 7919 * place + self.variant_keys[variant]) & 65535] < self.limit
-
-    def merge(self, chunk: str, variant: int) -> list[str]:
-        """Pieces of a chunk."""
-        return self._merge_short(chunk, variant) if len(chunk) <= 24 else self._merge_long(chunk, variant)
-
-    def _merge_short(self, chunk: str, variant: int) -> list[str]:
-        """The agenda as a list of the neighbours' scores."""
-        get, none, limit, keys, table = self.score.get, _NONE, self.limit, self.keys, self.table
-        own = self.variant_keys[variant]
+        # gaps[k]: of 2**63 draws, how many have their first skip among the first k + 1 candidates.
+        part, whole = float(rate).as_integer_ratio()
+        none = 2**63
+        self.gaps: list[int] = []
+        while part and none and len(self.gaps) < _DRAWS:
+            none = none * (whole - part) // whole
+            self.gaps.append(2**63 - none)
+        self.gap_table = np.array(self.gaps, np.uint64)
+        self.cache: dict[str, list] = {}
+        self.kept = 0
+
+    def first_gaps(self, key: int, place: int, n: int):
+        """Candidates before the first skip, for n words from a place on; ``len(gaps)`` stands for as many or more."""
+        if not self.gaps:
+            return repeat(_DRAWS, n)
+        at = np.arange(place, place + n, dtype=np.uint64) * np.uint64(_PLACE) + np.uint64(key)
+        return np.searchsorted(self.gap_table, _mix(at) >> np.uint64(1), "right").tolist()
+
+    def next_gap(self, key: int, place: int, skip: int) -> int:
+        """Candidates between skip number ``skip`` - 1 and the next."""
+        return bisect_right(self.gaps, _mix((key + place * _PLACE + skip * _SKIP) & _WORD) >> 1)
+
+    def skip_places(self, key: int, place: int, gap: int) -> Iterator[int]:
+        """All skips of a word, as the places of candidates in the order of the agenda."""
+        at = skip = 0
+        while self.gaps:
+            at += gap
+            if gap < len(self.gaps):
+                yield at
+                at += 1
+            skip += 1
+            gap = self.next_gap(key, place, skip)
+
+    def _merge_short(self, chunk: str, skips: int) -> tuple[list[str], int]:
+        """Pieces, and how many candidates came up; the agenda as a list of the neighbours' scores."""
+        get, none = self.score.get, _NONE
         parts = list(chunk)
-        places = list(range(len(parts)))
         agenda = [get(both, none) for both in map(str.__add__, chunk, chunk[1:])]
+        seen = 0
         while agenda:
             best = max(agenda)
             if best == none:
                 break
             k = agenda.index(best)
-            left, right = parts[k], parts[k + 1]
-            if limit and table[(keys[left] + 31 * keys[right] + 7919 * places[k] + own) & 65535] < limit:
-                agenda[k] = none
-                continue
-            parts[k] = left = left + right
-            del parts[k + 1], places[k + 1], agenda[k]
+            seen += 1
+            if skips:
+                skip, skips = skips & 1, skips >> 1
+                if skip:
+                    agenda[k] = none
+                    continue
+            parts[k] = left = parts[k] + parts[k + 1]
+            del parts[k + 1], agenda[k]
             if k:
                 agenda[k - 1] = get(parts[k - 1] + left, none)
             if k < len(agenda):
                 agenda[k] = get(left + parts[k + 1], none)
-        return parts
+        return parts, seen
+
+    def _merge_long(self, chunk: str, skips: int) -> tuple[list[str], int]:
+        return self._merge_heap(chunk, _bits(skips))
 
-    def _merge_long(self, chunk: str, variant: int) -> list[str]:
-        """The agenda as a heap."""
+    def _merge_heap(self, chunk: str, skips: Iterator[int]) -> tuple[list[str], int]:
+        """As ``_merge_short``, with the agenda as a heap and skips as they come."""
         score = self.score
+        seen, skip = 0, next(skips, -1)
         parts = list(chunk)
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -123,7 +156,9 @@ class Codec:
             _, left, right, size = heapq.heappop(agenda)
             if not parts[left] or not parts[right] or len(parts[left]) + len(parts[right]) != size:
                 continue  # one of them has been merged since
-            if self.limit and self.skips(parts[left], parts[right], left, variant):
+            seen += 1
+            if seen - 1 == skip:
+                skip = next(skips, -1)
                 continue
             parts[left] += parts[right]
             parts[right] = ""
@@ -136,43 +171,80 @@ class Codec:
                         heapq.heappush(agenda, (-score[both], a, b, len(both)))
             if nxt >= 0:
                 before[nxt] = left
-        return [p for p in parts if p]
+        return [p for p in parts if p], seen
 
-    def chunk_ids(self, chunk: str, variant: int) -> tuple[int, ...]:
+    def piece_ids(self, pieces: list[str]) -> tuple[int, ...]:
         out: list[int] = []
-        for piece in self.merge(chunk, variant):
+        for piece in pieces:
             if piece in self.ids:
                 out.append(self.ids[piece])
             else:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
         return tuple(out)
 
+    def node(self, chunk: str, skips: int) -> list:
+        """[candidates that came up, ids, nodes by the next skip] of a short word."""
+        pieces, seen = self._merge_short(chunk, skips) if len(chunk) <= 24 else self._merge_long(chunk, skips)
+        return [seen, self.piece_ids(pieces), None]
+
+    def skip_bits(self, chunk: str, key: int, place: int, gap: int) -> int:
+        """All skips of a short word: fewer than three times its length of candidates come up."""
+        skips, most = 0, 3 * len(chunk)
+        if gap < most:
+            for at in self.skip_places(key, place, gap):
+                if at >= most:
+                    break
+                skips |= 1 << at
+        return skips
+
+    def varied(self, node: list, chunk: str, gap: int, key: int, place: int) -> tuple[int, ...]:
+        """Ids of a short word whose first skip falls on one of its candidates."""
+        at, skips, skip = gap, 0, 0
+        while at < node[0]:
+            skips |= 1 << at
+            if node[2] is None:
+                node[2] = {}
+            below = node[2].get(at)
+            if below is None:
+                if self.kept >= CACHED_SKIPS:
+                    return self.node(chunk, self.skip_bits(chunk, key, place, gap))[1]
+                self.kept += 1
+                below = node[2][at] = self.node(chunk, skips)
+            node = below
+            skip += 1
+            at += 1 + self.next_gap(key, place, skip)
+        return node[1]
+
     def encode(self, text: str, key: int) -> list[int]:
-        """Ids of a whole text; ``key`` (of its document) varies the segmentation."""
+        """Ids of a whole text; ``key`` (of its document) and the places of its words vary the segmentation."""
         out: list[int] = []
         if not text:
             return out
-        cache, rate = self.cache, bool(self.limit)
-        # Bits of the document's hash choose the variants of its words in turn.
-        bits = ((key * 0x9E3779B97F4A7C15 + self.seed * 0xD6E8FEB86659FD93) & (2**64 - 1)) * 0xA0761D6478BD642F >> 3 if rate else 0
-        choice = [bits >> k & 1 for k in range(61)]
-        place = variant = 0
+        cache = self.cache
+        key = _mix((_mix((self.seed * _SKIP + 1) & _WORD) + key * _PLACE) & _WORD)
+        place = 0
         for k, segment in enumerate(text.split(SPACE)):
             if k:
                 out += [self.bytes[b] for b in SPACE.encode()]
             else:
                 segment = " " + segment
-            for chunk in _CHUNK.findall(segment.replace(" ", SPACE)):
-                variant = choice[place]
-                place = place + 1 if place < 60 else 0
-                found = cache.get((chunk, variant))
-                if found is None:
-                    found = self.chunk_ids(chunk, variant)
-                    if len(chunk) <= 32:
+            chunks = _CHUNK.findall(segment.replace(" ", SPACE))
+            for place, (chunk, gap) in enumerate(zip(chunks, self.first_gaps(key, place, len(chunks))), place):
+                node = cache.get(chunk)
+                if node is None:
+                    if len(chunk) > 32:
+                        out += self.piece_ids(self._merge_heap(chunk, self.skip_places(key, place, gap))[0])
+                        continue
+                    node = self.node(chunk, self.skip_bits(chunk, key, place, gap))
+                    if gap >= node[0]:
                         if len(cache) >= CACHED:
                             cache.clear()
-                        cache[chunk, variant] = found
-                out += found
+                            self.kept = 0
+                        cache[chunk] = node
+                    out += node[1]
+                    continue
+                out += node[1] if gap >= node[0] else self.varied(node, chunk, gap, key, place)
+            place += bool(chunks)
         return out
 
     def decode(self, ids) -> str:

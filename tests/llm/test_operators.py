@@ -92,6 +92,37 @@ def test_merge_dropout(spark):
     assert all(r.lossless for r in md.round_trip(df, path).collect())
 
 
+def test_merge_dropout_by_occurrence(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec = md.Codec(path, 0.1, 1)
+    word = "interesting"
+    plain = tuple(md.Codec(path, 0.0, 1).encode(word, 0))
+    own = [tuple(codec.encode(word, k)) for k in range(4000)]
+    assert len(set(own)) > 6  # by document
+    rng = random.Random(3)
+    drawn = [codec.piece_ids(codec._merge_short("▁" + word, sum(1 << k for k in range(60) if rng.random() < 0.1))[0]) for _ in range(4000)]
+    assert abs(own.count(plain) - drawn.count(plain)) < 200  # a draw for each candidate
+    text = " ".join(rng.choice([word, "the", "x" * 40, "nothing"]) for _ in range(800))
+    ids = codec.encode(text, 7)
+    assert len({codec.decode(ids)}) == 1 and codec.decode(ids) == text
+    cold = md.Codec(path, 0.1, 1)
+    monkeypatch.setattr(md, "CACHED", 3)
+    monkeypatch.setattr(md, "CACHED_SKIPS", 5)
+    assert cold.encode(text, 7) == ids != codec.encode(text, 8)  # caches change nothing
+    pieces = []  # each occurrence by hand, all its skips from the draws
+    key = md._mix((md._mix((codec.seed * md._SKIP + 1) & md._WORD) + 7 * md._PLACE) & md._WORD)
+    forms = set()
+    for place, w in enumerate(text.split(" ")):
+        got = codec._merge_heap("▁" + w, codec.skip_places(key, place, codec.next_gap(key, place, 0)))[0]
+        pieces += codec.piece_ids(got)
+        forms |= {tuple(got)} if w == word else set()
+    assert pieces == ids and len(forms) > 2  # by place in a document
+    every = md.Codec(path, 1.0, 1)
+    assert every._merge_heap("▁the", every.skip_places(key, 0, every.next_gap(key, 0, 0)))[0] == list("▁the")
+    for skips in range(64):
+        assert codec._merge_short("▁interesting", skips) == codec._merge_long("▁interesting", skips)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = li.identify(docs.select("doc_id", "text", "lang"), li.fit(docs, per_language=120)).withColumn("out", li.held_out(F.col("doc_id")))

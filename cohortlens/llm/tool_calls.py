@@ -8,7 +8,9 @@ Turns carry calls, results and schemas as tagged JSON in their text:
 
 Calls and results are hash-joined by conversation and identifier. A call whose arguments hold
 ``{"$ref": "id"}`` depends on that call: calls get their place in a topological order by levels, found by
-joins that stop when nothing changes (calls on a cycle, or that depend on one, get level -1). Arguments are
+joins that stop when nothing changes (calls on a cycle, or that depend on one, get level -1). Chains of calls
+with one reference each are shortened by doubling first; a round of joins is left for each level of calls
+with several references, however many levels there are. Arguments are
 validated against the schema of their name. Every turn is serialised as canonical JSON: sorted keys, no
 spaces, UTF-8, shortest numbers.
 
@@ -163,29 +165,61 @@ def _check(body: str, schema: str) -> str:
     return "; ".join(validate(json.loads(body), json.loads(schema))) if schema is not None else "no_schema"
 
 
-def _levels(calls: DataFrame, work: Workspace, max_levels: int) -> DataFrame:
+def _heads(edges: DataFrame, work: Workspace) -> DataFrame:
+    """conv_id, id, head, steps: where the chain of a call with one reference ends, at a call with none or several.
+
+    Each round doubles the steps. What still moves after as many rounds as the longest chain can need is on or
+    behind a cycle, and left out.
+    """
+    heads = edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("head")).where("n = 1")
+    heads = work.keep(heads.select("conv_id", "id", "head", F.lit(1).cast("long").alias("steps")), "heads0")
+    most = heads.count().bit_length()
+    for k in range(1, most + 2):
+        on = heads.select("conv_id", F.col("id").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
+        joined = heads.join(on, ["conv_id", "head"], "left")
+        moved = joined.select("conv_id", "id", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        if k > most or joined.where("next is not null").isEmpty():
+            heads = work.keep(joined.where("next is null").select(*heads.columns), "heads")
+            work.drop(f"heads{k - 1}")
+            return heads
+        heads = work.keep(moved, f"heads{k}")
+        work.drop(f"heads{k - 1}")
+    return heads
+
+
+def _levels(calls: DataFrame, work: Workspace) -> DataFrame:
     """conv_id, id, level: 0 without references to calls of the conversation, else one more than theirs; -1 on or behind a cycle."""
     nodes = calls.where("not duplicate").select("conv_id", "id")
     edges = calls.where("not duplicate").select("conv_id", "id", F.explode("refs").alias("ref"))
     edges = edges.join(nodes.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"]).distinct()
     edges = work.keep(edges, "edges")
-    level = work.keep(nodes.join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "level0")
-    left = edges.count()
-    k = 0
-    while left and k < max_levels:
-        k += 1
-        known = level.select("conv_id", F.col("id").alias("ref"), F.col("level").alias("ref_level"))
-        grown = edges.join(known, ["conv_id", "ref"], "left").groupBy("conv_id", "id").agg(F.count_if(F.col("ref_level").isNull()).alias("open"), F.max("ref_level").alias("top"))
-        base = nodes.join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0))
-        level = work.keep(base.unionByName(grown.where("open = 0").select("conv_id", "id", (F.col("top") + 1).alias("level"))), f"level{k}")
-        now = edges.join(level.select("conv_id", "id"), ["conv_id", "id"], "left_anti").count()
-        if now == left:
-            break
-        left = now
-    return nodes.join(level, ["conv_id", "id"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
-
-
-def link(turns: DataFrame, max_levels: int = 1000) -> dict[str, DataFrame]:
+    base = nodes.join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0).cast("long"))
+    level = work.keep(base, "level0")
+    if not edges.isEmpty():
+        heads = _heads(edges, work)
+        several = edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id", "id")
+        own = edges.join(several, ["conv_id", "id"], "left_semi").join(heads.withColumnRenamed("id", "ref"), ["conv_id", "ref"], "left")
+        own = work.keep(own.select("conv_id", "id", F.coalesce("head", "ref").alias("ref"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "several")
+        base, left = level, own.count()
+        k = 0
+        while left:
+            k += 1
+            known = level.select("conv_id", F.col("id").alias("ref"), F.col("level").alias("ref_level"))
+            grown = own.join(known, ["conv_id", "ref"], "left").groupBy("conv_id", "id").agg(F.count_if(F.col("ref_level").isNull()).alias("open"), F.max(F.col("ref_level") + F.col("steps")).alias("level"))
+            level = work.keep(base.unionByName(grown.where("open = 0").select("conv_id", "id", "level")), f"level{k}")
+            if k > 1:
+                work.drop(f"level{k - 1}")
+            now = own.join(level.select("conv_id", "id"), ["conv_id", "id"], "left_anti").count()
+            if now == left:
+                break
+            left = now
+        ends = level.select("conv_id", F.col("id").alias("head"), F.col("level").alias("end"))
+        chained = heads.join(ends, ["conv_id", "head"]).select("conv_id", "id", (F.col("end") + F.col("steps")).alias("level"))
+        level = level.unionByName(chained)
+    return nodes.join(level, ["conv_id", "id"], "left").withColumn("level", F.coalesce("level", F.lit(-1)).cast("int"))
+
+
+def link(turns: DataFrame) -> dict[str, DataFrame]:
     """``messages`` (a row a turn), ``calls`` (a row a call) and ``orphans`` (results without a call)."""
     work = Workspace(turns.sparkSession, "tool-calls")
     source = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -203,7 +237,7 @@ def link(turns: DataFrame, max_levels: int = 1000) -> dict[str, DataFrame]:
     later = ~F.col("duplicate") & (F.col("result_turn") > F.col("turn"))
     linked = linked.withColumn("result", F.when(later, F.col("result"))).withColumn("result_turn", F.when(later, F.col("result_turn")))
     linked = linked.join(schemas, ["conv_id", "name"], "left").withColumn("errors", F.udf(_check, "string")("body", "schema"))
-    linked = linked.join(_levels(calls, work, max_levels), ["conv_id", "id"], "left")
+    linked = linked.join(_levels(calls, work), ["conv_id", "id"], "left")
     linked = linked.select("conv_id", "turn", "place", "id", "name", F.col("body").alias("arguments"), "duplicate", F.coalesce("level", F.lit(-1)).alias("level"), (F.col("result_turn").isNotNull()).alias("linked"), "result_turn", "result", "errors", F.col("errors").isin("", "no_schema").alias("valid"))
     linked = work.keep(linked, "calls")
 

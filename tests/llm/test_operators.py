@@ -218,6 +218,17 @@ def test_tool_calls(spark):
     assert messages[2, 0].message == '{"content":null,"role":null}' and messages[2, 1].malformed == 1
 
 
+def test_tool_calls_long_chains(spark):
+    call = lambda ident, *refs: (1, int(ident[1:]), "assistant", f'<tool_call>{{"id":"{ident}","name":"f","arguments":{{"x":[' + ",".join(f'{{"$ref":"{r}"}}' for r in refs) + "]}}</tool_call>")
+    n = 1300
+    rows = [call("c0")] + [call(f"c{k}", f"c{k - 1}") for k in range(1, n)]
+    rows += [call("m2000", "c5", f"c{n - 1}"), call("m2001", "m2000"), call("m2002", "m2001", "c0", "nowhere"), call("m2003", "m2002", "m2000")]
+    rows += [call("p3000", "p3001"), call("p3001", "p3000"), call("p3002", "p3001"), call("p3003", "p3003"), call("p3004", "c1", "p3002"), call("p3005", "p3004")]
+    got = {r.id: r.level for r in tc.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))["calls"].collect()}
+    want = {f"c{k}": k for k in range(n)} | {"m2000": n, "m2001": n + 1, "m2002": n + 2, "m2003": n + 3} | {f"p{k}": -1 for k in range(3000, 3006)}
+    assert got == want
+
+
 @pytest.mark.parametrize("value,schema,errors", [({"x": 1}, {"type": "object", "additionalProperties": False}, 1), ([1, "a"], {"items": {"type": "number"}}, 1), (True, {"type": "integer"}, 1), ("ab", {"pattern": "^a", "maxLength": 2}, 0), (None, {"type": ["string", "null"]}, 0), (5, {"minimum": 6}, 1)])
 def test_validate(value, schema, errors):
     assert len(tc.validate(value, schema)) == errors

@@ -1,29 +1,34 @@
 """Near-duplicate classes by an n-gram Jaccard join (operator 3): size-aware, heavy and light.
 
 A document's set holds its distinct 5-word shingles as 64-bit hashes. All sets are ordered alike: shingles
-of few documents first, those of many last. Two sets that link share much, so they share an element among
-the first ones of each (the prefix).
+of few documents first, those of many last, by counts of the whole table. Two sets that link share much, so
+they share an element among the first ones of each (the prefix).
 
 * Small sets (up to a boundary) enumerate the 2-element subsets of a slightly longer prefix. The boundary is
   the size at which subsets cost more postings than inverted lists cost postings times list length, by
   statistics of all documents.
-* Large sets post their prefix to inverted lists. Lists are scanned in order of key; sets that share a list
-  are candidates. Counting shared lists drops pairs that cannot reach the similarity.
+* Large sets post their prefix to inverted lists, each element with its place in the set. Two sets that
+  meet in a list can link only if what lies behind the element in both is enough; a linked pair passes at
+  the first element that it shares.
 
-Lists of near copies are long and mutually alike. Each set joins the cluster of the list head that it
-shares most lists with; only pairs of clusters leave the scan, never pairs of members. Clusters are dealt
-in blocks of bounded size, and a task verifies a pair of blocks exactly, emitting no more links than rows.
+Lists of near copies are long and mutually alike, and only their classes are wanted. So sets are first
+compared with one set of their lists (a star, linear in the lists' length), and those that link are one
+component; stars with other middles follow while they link much. What is left are pairs of sets of
+different components that meet in a list and pass by place: each is compared exactly. Long lists are cut in
+blocks, and a middle's members are dealt in chunks, so no task gathers a list or a group of copies.
 
-Every link is found: linked sets share a prefix key, so their clusters are a candidate pair, and all pairs
-of its members are verified. Sets that are equal are one class from the start, by a 128-bit digest.
+Every link between components is found: a linked pair shares a prefix element at which it passes by place,
+and is compared unless stars have connected it already. Equal sets are one class by a 128-bit digest.
 
 Null or empty texts have no shingles and link with nothing. Texts of fewer words than a shingle are one
-shingle. Repeated rows are equal sets. Rows with a null id get a null component. Extra columns are ignored.
+shingle. Repeated rows are equal sets; rows of one id are one document in links. Rows with a null id get a
+null component. Extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +40,13 @@ from .common import Workspace, partitions, read_table
 
 WORDS = 5
 PERCENT = 75
-# A task verifies no more sets and elements than this at once.
-BLOCK, BLOCK_ELEMENTS = 2048, 2_000_000
-# A set joins the cluster of a head that it shares this part of the shorter prefix with.
-NEAR = 0.2
-CHUNK_DOCS, CHUNK_SHINGLES = 4000, 4_000_000
+# Rows of a list, and members of a star, that a task takes at once.
+BLOCK = 2048
+# Shingles counted at once; shingles of fewer documents than OFTEN count as rare; how many of the others are
+# ordered by frequency (the most frequent ones; the rest count as rare, which costs time and loses nothing).
+CHUNK_SHINGLES, OFTEN, ORDERED = 4_000_000, 8, 1 << 19
+# Stars go on while one links this part of the sets that share a key.
+WORTH = 0.05
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -83,28 +90,25 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-_PROFILE = "kind int, doc_id long, n long, d1 long, d2 long, shingle long, m long"
+_PROFILE = "doc_id long, n long, d1 long, d2 long, span int, counted binary"
 
 
 def _profile(source: DataFrame) -> DataFrame:
-    """kind 0: a document's set size and digest; 1: a shingle's count in a chunk of documents; 2: sums of counts of the others and of their squares."""
-    names = ["kind", "doc_id", "n", "d1", "d2", "shingle", "m"]
+    """A row for each document, with set size and digest; and rows of a span of hashes, with those met in a chunk of documents.
 
-    def rows(kind, **columns):
-        size = len(next(iter(columns.values())))
-        types = [pa.int32()] + [pa.int64()] * 6
-        out = [pa.array(np.full(size, kind, np.int32))]
-        out += [pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names[1:], types[1:])]
-        return pa.RecordBatch.from_arrays(out, names)
+    A span is the first 12 bits of a shingle's hash. ``counted`` holds the next 20 bits of each shingle met:
+    how many have each of 16 first values (32-bit numbers), then 16 bits of each.
+    """
+    names = ["doc_id", "n", "d1", "d2", "span", "counted"]
 
     def flush(sets):
-        if not sets:
-            return
-        values, counts = np.unique(np.concatenate(sets), return_counts=True)
-        often = counts >= 3
-        yield rows(1, shingle=values[often].view(np.int64), m=counts[often])
-        rest = counts[~often]
-        yield rows(2, n=np.array([rest.sum()]), m=np.array([(rest * rest).sum()]))
+        high = np.sort((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32))
+        ends = np.searchsorted(high, np.arange(1, 1 << 16, dtype=np.uint32) << np.uint32(16))
+        ends = np.concatenate([[0], ends, [len(high)]])
+        sizes, low = np.diff(ends).astype("<u4"), high.astype("<u2")
+        spans = [k for k in range(1 << 12) if ends[16 * k] < ends[16 * k + 16]]
+        raw = [sizes[16 * k : 16 * k + 16].tobytes() + low[ends[16 * k] : ends[16 * k + 16]].tobytes() for k in spans]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(raw), pa.int64()) for _ in range(4)), pa.array(spans, pa.int32()), pa.array(raw, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
@@ -117,16 +121,65 @@ def _profile(source: DataFrame) -> DataFrame:
                 digests.append(_digest(own))
                 sets.append(own)
                 held += len(own)
-                if len(sets) >= CHUNK_DOCS or held >= CHUNK_SHINGLES:
-                    yield from flush(sets)
+                if held >= CHUNK_SHINGLES:
+                    yield flush(sets)
                     sets, held = [], 0
             d = np.array(digests, np.int64).reshape(-1, 2)
-            yield rows(0, doc_id=batch.column(0), n=np.array(sizes, np.int64), d1=d[:, 0], d2=d[:, 1])
-        yield from flush(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.binary())], names)
+        if held:
+            yield flush(sets)
 
     return source.mapInArrow(run, _PROFILE)
 
 
+def _counts(profile: DataFrame, parts: int) -> DataFrame:
+    """bucket (first 32 bits of a shingle's hash) and m, for the most frequent ones of a task; and the sums of m and of its square over the others, with a null bucket."""
+
+    def spans(batches):
+        """Each span with the values met, ascending, and how often; many values at once are summed in a table of the whole span."""
+        span, held, size, table = None, [], 0, None
+
+        def done():
+            if table is not None:
+                total = table + np.bincount(np.concatenate(held), minlength=1 << 20) if held else table
+                own = np.flatnonzero(total)
+                return span, own, total[own]
+            return span, *np.unique(np.concatenate(held), return_counts=True)
+
+        for batch in batches:
+            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if span is not None and own != span:
+                    yield done()
+                    held, size, table = [], 0, None
+                elif size > 4_000_000:
+                    table = np.bincount(np.concatenate(held), minlength=1 << 20) + (0 if table is None else table)
+                    held, size = [], 0
+                span = own
+                sizes = np.frombuffer(raw[:64], "<u4")
+                held.append(np.repeat(np.arange(16, dtype=np.int64) << 16, sizes) + np.frombuffer(raw[64:], "<u2"))
+                size += len(held[-1])
+        if span is not None:
+            yield done()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n = squares = 0
+        for span, values, met in spans(batches):
+            often = met >= OFTEN
+            buckets, counts = np.append(buckets, values[often] + (span << 20)), np.append(counts, met[often])
+            rare = met[~often]
+            n, squares = n + int(rare.sum()), squares + int((rare * rare).sum())
+            if len(buckets) > 2 * ORDERED:
+                most = np.argpartition(-counts, ORDERED)[:ORDERED]
+                buckets, counts = buckets[most], counts[most]
+        most = np.lexsort((buckets, -counts))[:ORDERED]
+        yield pa.RecordBatch.from_arrays([pa.array(buckets[most]), pa.array(counts[most]), pa.nulls(len(most), pa.int64())], ["bucket", "m", "squares"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64()), pa.array([squares], pa.int64())], ["bucket", "m", "squares"])
+
+    dealt = profile.where("counted is not null").select("span", "counted").repartition(parts, "span").sortWithinPartitions("span")
+    return dealt.mapInArrow(run, "bucket long, m long, squares long")
+
+
 def choose_boundary(list_length: float, percent: int = PERCENT) -> int:
     """Largest set size whose 2-element subsets are no more postings than inverted lists' postings times their length."""
     n = 2
@@ -138,52 +191,54 @@ def choose_boundary(list_length: float, percent: int = PERCENT) -> int:
     return n
 
 
-def _order(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A set in the order of all sets: rare shingles by hash, then common ones by frequency."""
-    if not len(common):
+def _order(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A set in the order of all sets: rare shingles by hash, then frequent ones by frequency. often: buckets, ascending."""
+    if not len(often):
         return own
-    at = np.searchsorted(common, own)
-    at[at == len(common)] = 0
-    hit = common[at] == own
+    bucket = (own >> np.uint64(32)).astype(np.uint32)
+    at = np.searchsorted(often, bucket)
+    at[at == len(often)] = 0
+    hit = often[at] == bucket
     if not hit.any():
         return own
     late = own[hit]
     return np.concatenate([own[~hit], late[np.argsort(rank[at[hit]], kind="stable")]])
 
 
-def prefix_keys(own: np.ndarray, boundary: int, percent: int = PERCENT) -> tuple[np.ndarray, bool]:
-    """Keys of an ordered set, and whether it is a large one."""
+def prefix_keys(own: np.ndarray, boundary: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of an ordered set, and the place of each: elements before it. Subsets of small sets have place 0."""
     n = len(own)
     p1 = prefix_length(n, percent)
     large = n > boundary
-    keys = []
+    keys, places = [own[:0]], [np.zeros(0, np.int64)]
     if n >= 3 and not large:
         first = own[: p1 + 1]
         a, b = np.triu_indices(len(first), 1)
         lo, hi = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
-        keys.append(_finish(lo * _MIX[1] + hi * _MIX[2] + _MIX[3]))
+        keys.append(np.unique(_finish(lo * _MIX[1] + hi * _MIX[2] + _MIX[3])))
+        places.append(np.zeros(len(keys[-1]), np.int64))
     if large or 100 * n >= percent * (boundary + 1):  # may link with a large one
         keys.append(own[:p1])
-    return (np.unique(np.concatenate(keys)) if keys else own[:0]), large
+        places.append(np.arange(p1))
+    return np.concatenate(keys), np.concatenate(places)
 
 
-_POSTING = "key long, doc long, n int, slack int, class int"
+_POSTING = "key long, doc long, n int, place int"
 
 
 def _postings(source: DataFrame, held, boundary: int, percent: int) -> DataFrame:
-    """Keys of each set, once for equal sets of a task. slack: what of the set lies behind its prefix (all of a small set)."""
-    log = np.log(100 / percent)
+    """Keys of each set, once for equal sets that a task meets close together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = held.value
+        often, rank = held.value
         seen: set[bytes] = set()
         import xxhash
 
         def out(parts):
-            keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+            keys, places = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
             sizes = [len(p[0]) for p in parts]
-            doc, n, slack, cls = (np.repeat(np.array([p[i] for p in parts], np.int64), sizes) for i in range(1, 5))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc), *(pa.array(c.astype(np.int32)) for c in (n, slack, cls))], ["key", "doc", "n", "slack", "class"])
+            doc, n = (np.repeat(np.array([p[i] for p in parts], np.int64), sizes) for i in (2, 3))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32))], ["key", "doc", "n", "place"])
 
         for batch in batches:
             parts, held_keys = [], 0
@@ -196,11 +251,12 @@ def _postings(source: DataFrame, held, boundary: int, percent: int) -> DataFrame
                 mark = xxhash.xxh3_128_digest(own.tobytes())
                 if mark in seen:
                     continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
                 seen.add(mark)
-                n = len(own)
-                keys, large = prefix_keys(_order(own, common, rank), boundary, percent)
+                keys, places = prefix_keys(_order(own, often, rank), boundary, percent)
                 if len(keys):
-                    parts.append((keys, doc, n, n - prefix_length(n, percent) if large else n, int(np.log(n) / log)))
+                    parts.append((keys, places, doc, len(own)))
                     held_keys += len(keys)
                 if held_keys > 500_000:
                     yield out(parts)
@@ -210,218 +266,155 @@ def _postings(source: DataFrame, held, boundary: int, percent: int) -> DataFrame
     return source.mapInArrow(run, _POSTING)
 
 
-def _lists(postings: DataFrame, parts: int) -> DataFrame:
-    """Postings of keys with two or more, with the head of their list: the first set of the key of about that size."""
+def _passes(n, place, m, other, percent: int):
+    """Whether sets of n and m elements can link, if the first element that they share lies at these places."""
+    return np.minimum(n - place, m - other) >= -(-percent * (n + m) // (100 + percent))
+
+
+def _lists(postings: DataFrame, parts: int, percent: int, turn: int) -> DataFrame:
+    """Postings of keys with two or more, with a middle: one set of the key of about that size, another each turn."""
+    log = float(np.log(100 / percent))
+    names = ["key", "doc", "n", "place", "middle", "passes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None  # the last row: columns, whether a row of its key came before, its head
+        last = None  # the last row, whether a row of its key came before, its middle
+
+        def out(own, middle, which):
+            _, doc, n, place, _ = own
+            passes = _passes(n, place, middle[1], middle[2], percent) & (doc != middle[0])
+            columns = [*own[:4], middle[0], passes]
+            kinds = [np.int64, np.int64, np.int32, np.int32, np.int64, bool]
+            return pa.RecordBatch.from_arrays([pa.array(c[which].astype(t)) for c, t in zip(columns, kinds)], names)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            before, head0 = False, None
-            if carry:
-                own = [np.concatenate([c, o]) for c, o in zip(carry[0], own)]
-                before, head0 = carry[1:]
-            key, doc, _, _, cls = own
+            own = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            if last:
+                own = [np.concatenate([c, o]) for c, o in zip(last[0], own)]
+            key, doc, n, place, size = own
             new_key = np.append(True, key[1:] != key[:-1])
-            new = new_key | np.append(True, cls[1:] != cls[:-1])
-            head = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            if head0 is not None:
-                stop = np.flatnonzero(new[1:])
-                head[: stop[0] + 1 if len(stop) else len(head)] = head0
+            new = new_key | np.append(True, size[1:] != size[:-1])
+            middle = np.stack([doc, n, place])[:, np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
             had = ~new_key
-            had[0] = before
-            shared = had[:-1] | (key[1:] == key[:-1])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[:-1][shared]) for c in own[:4]), pa.array(head[:-1][shared])], ["key", "doc", "n", "slack", "head"])
-            carry = [c[-1:] for c in own], bool(had[-1]), head[-1]
-        if carry and carry[1]:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in carry[0][:4]), pa.array([carry[2]], pa.int64())], ["key", "doc", "n", "slack", "head"])
-
-    dealt = postings.repartition(parts, "key").sortWithinPartitions("key", "class", "doc")
-    return dealt.mapInArrow(run, "key long, doc long, n int, slack int, head long")
-
-
-_PAIR = "a long, b long, shared long"
-
-
-def _cluster_pairs(members: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Pairs of clusters in one list, with the number of such lists, combined in each task."""
-
-    def combine(a, b, n):
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, int)
-        return a[first], b[first], np.add.reduceat(n, first) if len(a) else n
+            if last:
+                had[0] = last[1]
+                stop = np.flatnonzero(new[1:])
+                middle[:, : stop[0] + 1 if len(stop) else len(key)] = last[2][:, None]
+            shared = np.append(had[:-1] | (key[1:] == key[:-1]), False)
+            yield out(own, middle, shared)
+            last = [c[-1:] for c in own], bool(had[-1]), middle[:, -1]
+        if last and last[1]:
+            yield out(last[0], last[2][:, None], slice(None))
+
+    size = F.floor(F.log("n") / log).cast("int")
+    dealt = postings.select("key", "doc", "n", "place").repartition(parts, "key").withColumn("size", size)
+    order = "doc" if not turn else F.xxhash64("doc", F.lit(turn))
+    return dealt.sortWithinPartitions("key", "size", order, "doc").mapInArrow(run, "key long, doc long, n int, place int, middle long, passes boolean")
+
+
+def _meeting_pairs(rows: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that meet in a list and pass by place. rows: key, doc, n, place, component, sets (of the list)."""
+    names = ["a", "b"]
+
+    def pairs(own):
+        """Of one pair of blocks of a list, some rows of the triangle at a time."""
+        _, lo, hi, block, doc, n, place, component = own
+        one, two = (block == lo).nonzero()[0], (block == hi).nonzero()[0]
+        step = max(1, 2_000_000 // max(1, len(two)))
+        for s in range(0, len(one), step):
+            i = one[s : s + step, None]
+            fits = (component[i] != component[two]) & _passes(n[i], place[i], n[two], place[two], percent)
+            if lo[0] == hi[0]:
+                fits &= i < two
+            i, j = fits.nonzero()
+            a, b = doc[one[s + i]], doc[two[j]]
+            yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush():
-            nonlocal held, size
-            a, b, n = combine(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-            held, size = [(a, b, n)], len(a)
-
-        def emit():
-            for a, b, n in held:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "shared"])
-
-        def pairs(cluster, lo, hi):
-            """Pairs of one list, some rows of the triangle at a time."""
-            step = max(1, 2_000_000 // max(1, len(cluster)))
-            for s in range(0, len(cluster), step):
-                i, j = np.nonzero(np.arange(s, min(s + step, len(cluster)))[:, None] < np.arange(len(cluster)))
-                i += s
-                fits = (100 * hi[i] >= percent * lo[j]) & (100 * hi[j] >= percent * lo[i])
-                yield cluster[i[fits]], cluster[j[fits]]
-
         rest = None
-        for batch in batches:
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        for batch in chain(batches, [None]):
+            own = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)] if batch is not None else None
             if rest is not None:
-                own = [np.concatenate([r, o]) for r, o in zip(rest, own)]
-            key = own[0]
-            if not len(key):
+                own = [np.concatenate([r, o]) for r, o in zip(rest, own)] if own else rest
+            if not own or not len(own[0]):
                 continue
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            rest = [c[starts[-1] :] for c in own]
-            ends = starts[1:]
-            two = ends - starts[:-1] == 2  # most lists: at once
-            i = starts[:-1][two]
-            if len(i):
-                fits = (100 * own[3][i] >= percent * own[2][i + 1]) & (100 * own[3][i + 1] >= percent * own[2][i])
-                a, b = own[1][i[fits]], own[1][i[fits] + 1]
-                held.append((a, b, np.ones(len(a), np.int64)))
-                size += len(a)
-            for s, e in zip(starts[:-1][~two], ends[~two]):
-                for a, b in pairs(own[1][s:e], own[2][s:e], own[3][s:e]):
-                    held.append((a, b, np.ones(len(a), np.int64)))
-                    size += len(a)
-                    if size > 4_000_000:
-                        flush()
-                        if size > 2_000_000:
-                            yield from emit()
-                            held, size = [], 0
-        if rest is not None and len(rest[0]) > 1:
-            for a, b in pairs(*rest[1:]):
-                held.append((a, b, np.ones(len(a), np.int64)))
-        if held:
-            flush()
-            yield from emit()
-
-    lists = members.groupBy("key", "cluster").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    dealt = lists.repartition(parts, "key").sortWithinPartitions("key", "cluster").select("key", "cluster", "lo", "hi")
-    return dealt.mapInArrow(run, _PAIR)
-
-
-def verify(docs: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect the same documents as all links among these sets, at most one a document."""
-    k = len(docs)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if k == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(docs[0], docs[1])] if 100 * both >= percent * (sizes.sum() - both) and both else []
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(k), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    column = np.cumsum(np.append(False, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, int)
-    many = np.bincount(column)[column] >= 2 if len(flat) else np.zeros(0, bool)
-    owner, column = owner[many], column[many]
-    both = np.zeros((k, k), np.float32)
-    if len(column):
-        start = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
-        size = np.diff(np.append(start, len(column)))
-        # Elements of few sets: their pairs one by one, by number of sets.
-        for few in range(2, 33):
-            own = start[size == few]
-            if len(own):
-                sets_of = owner[own[:, None] + np.arange(few)]
-                a, b = np.triu_indices(few, 1)
-                pairs = (sets_of[:, a].astype(np.int64) * k + sets_of[:, b]).ravel()
-                cells, n = np.unique(pairs, return_counts=True)
-                both[cells // k, cells % k] += n
-                both[cells % k, cells // k] += n
-        # Elements of many: as a product of matrices, some columns at a time.
-        many = np.repeat(size > 32, size)
-        owner, column = owner[many], column[many]
-    if len(column):
-        column = np.cumsum(np.append(False, column[1:] != column[:-1]))
-        for s in range(0, int(column[-1]) + 1, 4096):
-            i, j = np.searchsorted(column, [s, s + 4096])
-            part = np.zeros((k, 4096), np.float32)
-            part[owner[i:j], column[i:j] - s] = 1
-            both += part @ part.T
-    np.fill_diagonal(both, 0)
-    inter = np.rint(both).astype(np.int64)
-    link = (100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)) & (inter > 0)
-    label = np.arange(k)
-    np.fill_diagonal(link, True)
-    while True:
-        low = np.where(link, label[None, :], k).min(axis=1)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    return [(docs[i], docs[int(label[i])]) for i in range(k) if label[i] != i]
-
-
-def _links(dealt: DataFrame, percent: int) -> DataFrame:
-    """dealt: task (a pair of blocks), doc, elements; sorted by task."""
+            starts = np.flatnonzero(np.append(True, (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1]) | (own[2][1:] != own[2][:-1])))
+            ends = np.append(starts[1:], len(own[0]))
+            if batch is not None:  # the last list may go on
+                rest = [c[starts[-1] :] for c in own]
+                starts, ends = starts[:-1], ends[:-1]
+            _, _, _, _, doc, n, place, component = own
+            i = starts[ends - starts == 2]  # most lists: at once
+            i = i[(component[i] != component[i + 1]) & _passes(n[i], place[i], n[i + 1], place[i + 1], percent)]
+            found = [(np.minimum(doc[i], doc[i + 1]), np.maximum(doc[i], doc[i + 1]))]
+            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
+                for ab in pairs([c[s:e] for c in own]):
+                    found.append(ab)
+                    if sum(len(f[0]) for f in found[-50:]) > 500_000:
+                        yield _distinct_pairs(found)
+                        found = []
+            if found:
+                yield _distinct_pairs(found)
+
+    def _distinct_pairs(found):
+        both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names)
+
+    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    cut = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "n", "place", "component")
+    dealt = cut.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets link, by their whole contents."""
+    if len(one) > len(two):
+        one, two = two, one
+    if not len(one) or 100 * len(one) < percent * len(two):
+        return False
+    at = np.searchsorted(two, one)
+    at[at == len(two)] = 0
+    both = int((two[at] == one).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _sets(source: DataFrame) -> DataFrame:
+    """doc and its whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, docs, sets = None, [], []
-
-        def out():
-            found = verify(docs, sets, percent) if len(docs) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["src", "dst"])
-
         for batch in batches:
-            for own, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if own != task:
-                    if docs:
-                        yield out()
-                    task, docs, sets = own, [], []
-                if docs and docs[-1] == doc:
-                    continue
-                docs.append(doc)
-                sets.append(_elements(raw.as_py()))
-        if docs:
-            yield out()
+            for s in range(0, batch.num_rows, 200):  # of long texts, too, no more than some at once
+                part = batch.slice(s, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["doc", "elements"])
 
-    return dealt.mapInArrow(run, "src long, dst long")
+    return source.mapInArrow(run, "doc long, elements binary")
 
 
-def _deal_sets(joined: DataFrame) -> DataFrame:
-    """Each document's elements, for each of its tasks. 48 bits of an element tell those of one task apart."""
+def _links(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, as src and dst. Members of a middle ``a`` are dealt in chunks; each chunk gets the middle's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle, middles = None, []
         for batch in batches:
-            rows, size = [], 0
-            for doc, text, tasks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = shingle_set(text.as_py()).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-                rows += [(task, doc, raw) for task in tasks]
-                size += len(raw) * len(tasks)
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
-                    rows, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
-
-    kinds, names = [pa.string(), pa.int64(), pa.binary()], ["task", "doc", "elements"]
-    return joined.mapInArrow(run, "task string, doc long, elements binary")
-
-
-def _elements(raw: bytes) -> np.ndarray:
-    """Sorted elements of a document as dealt."""
-    own = np.zeros((len(raw) // 6, 8), np.uint8)
-    own[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return np.sort(own.reshape(-1).view(np.uint64))
-
-
-def _least_shared(percent: int, n: str, m: str, slack: str, other_slack: str):
-    """Prefix elements that linked sets share at least: of the set whose prefix ends first, all common ones but those behind its prefix."""
-    return F.ceil(F.lit(percent / (100 + percent)) * (F.col(n) + F.col(m)) - 1e-9) - F.greatest(slack, other_slack)
+            found = []
+            for a, chunk, first, doc, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                own = np.frombuffer(raw.as_py(), np.uint64)
+                if middle != (a, chunk):
+                    middle, middles = (a, chunk), []
+                if not first:
+                    middles.append(own)  # one, but where rows repeat an id
+                elif any(linked(m, own, percent) for m in middles):
+                    found.append((a, doc))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["src", "dst"])
+
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    members = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), F.col("b").alias("doc"))
+    middles = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("a").alias("doc"))
+    dealt = members.unionByName(middles).join(sets, "doc").select("a", "chunk", "role", "doc", "elements")
+    return dealt.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,71 +425,59 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     profile = work.keep(_profile(source), "profile")
-    stats = profile.agg(F.sum(F.when(F.col("kind") == 0, 1)), F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.sum(F.when(F.col("kind") == 2, F.col("m")))).first()
-    total = stats[0] or 0
+    counted = work.keep(_counts(profile, parts), "counts")
     if boundary is None:
-        boundary = choose_boundary((stats[2] or 0) / max(1, stats[1] or 0), percent)
-    # Shingles of one document in 2,000 or more, the most frequent 262,144 of them (which only order the sets).
-    common = profile.where("kind = 1").groupBy("shingle").agg(F.sum("m").alias("m")).where(F.col("m") >= max(8.0, total / 2000)).orderBy(F.desc("m"), "shingle").limit(1 << 18).toPandas()
-    values = common["shingle"].to_numpy(np.int64).view(np.uint64)
-    by_value = np.argsort(values)
-    held = spark.sparkContext.broadcast((values[by_value], common["m"].to_numpy(np.int64)[by_value]))
-
-    lists = work.keep(_lists(_postings(source, held, boundary, percent), parts), "lists")
+        rare = counted.where("bucket is null").agg(F.sum("squares"), F.sum("m")).first()
+        boundary = choose_boundary((rare[0] or 0) / max(1, rare[1] or 0), percent)
+    # No more rows than ORDERED.
+    often = counted.where("bucket is not null").orderBy(F.desc("m"), "bucket").limit(ORDERED).toPandas()
+    buckets, counts = often["bucket"].to_numpy(np.int64).astype(np.uint32), often["m"].to_numpy(np.int64)
+    rank = np.empty(len(buckets), np.int32)
+    rank[np.lexsort((buckets, counts))] = np.arange(len(buckets), dtype=np.int32)
+    by_bucket = np.argsort(buckets)
+    held = spark.sparkContext.broadcast((buckets[by_bucket], rank[by_bucket]))
+    sets_of = work.keep(profile.where("n is not null").select("doc_id", "n", "d1", "d2"), "sizes")
+    work.drop("profile", "counts")
     work.release()
 
-    sizes = work.keep(lists.groupBy("doc").agg(F.first("n").alias("n"), F.first("slack").alias("slack")), "sizes")
-    votes = lists.where("doc <> head").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("c"))
-    of_head = sizes.select(F.col("doc").alias("head"), F.col("n").alias("head_n"), F.col("slack").alias("head_slack"))
-    near = F.least(F.col("n") - F.col("slack"), F.col("head_n") - F.col("head_slack")) * NEAR
-    # A set that is near no head is a cluster of its own.
-    votes = votes.join(sizes, "doc").join(of_head, "head").where(F.col("c") >= near)
-    best = votes.groupBy("doc").agg(F.max(F.struct("c", (-F.col("head")).alias("minus"))).alias("best"))
-    chosen = work.keep(sizes.join(best, "doc", "left").select("doc", "n", "slack", F.coalesce(-F.col("best.minus"), "doc").alias("cluster")), "chosen")
-    clusters = work.keep(chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("slack").alias("slack")), "clusters")
-    members = lists.select("key", "doc").join(chosen.join(clusters.select("cluster", "lo", "hi"), "cluster").select("doc", "cluster", "lo", "hi"), "doc")
-    pairs = _cluster_pairs(members, parts, percent).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    side = lambda x: clusters.select(*[F.col(c).alias(f"{x}_{c}" if c != "cluster" else x) for c in clusters.columns])
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    # Clusters share all lists that a linked pair of their members shares.
-    pairs = pairs.where(F.col("shared") >= _least_shared(percent, "a_lo", "b_lo", "a_slack", "b_slack"))
-    own = clusters.where("size > 1").select(F.col("cluster").alias("a"), F.col("cluster").alias("b"), F.col("size").alias("a_size"), F.col("size").alias("b_size"), F.col("hi").alias("a_hi"), F.col("hi").alias("b_hi"))
-    pairs = work.keep(pairs.select("a", "b", "a_size", "b_size", "a_hi", "b_hi").unionByName(own), "pairs")
-
-    # Clusters that candidate pairs connect, if they are few sets together, are one task: each set travels once.
-    # Others are dealt in pairs of blocks.
-    groups = connected_components(pairs.where("a <> b"), lambda df, name: work.keep(df, f"groups_{name}"), "a", "b")
-    touched = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "cluster")
-    touched = touched.join(clusters, "cluster").join(groups.withColumnRenamed("node", "cluster"), "cluster", "left")
-    touched = touched.withColumn("component", F.coalesce("component", "cluster"))
-    small = touched.groupBy("component").agg(F.sum("size").alias("sets"), F.sum(F.col("size") * F.col("hi")).alias("elements"))
-    small = small.select("component", ((F.col("sets") <= BLOCK) & (F.col("elements") <= BLOCK_ELEMENTS)).alias("small"))
-    touched = work.keep(touched.join(small, "component").select("cluster", "size", "hi", "component", "small"), "touched")
-    together = chosen.join(touched.where("small"), "cluster").select(F.concat(F.lit("c"), "component").alias("task"), "doc")
-
-    # Two blocks meet in a task: half of each bound.
-    blocks = lambda size, hi: F.greatest(F.ceil(F.col(size) * 2 / BLOCK), F.ceil(F.col(size) * F.col(hi) * 2 / BLOCK_ELEMENTS)).cast("int")
-    large = touched.where("not small").select(F.col("cluster").alias("a"))
-    tasks = pairs.join(large, "a").select("a", "b", F.explode(F.sequence(F.lit(0), blocks("a_size", "a_hi") - 1)).alias("i"), "b_size", "b_hi")
-    tasks = tasks.select("a", "b", "i", F.explode(F.sequence(F.lit(0), blocks("b_size", "b_hi") - 1)).alias("j")).where("a <> b or i <= j")
-    task = F.concat_ws(":", "a", "i", "b", "j").alias("task")
-    wanted = tasks.select(task, F.col("a").alias("cluster"), F.col("i").alias("block")).unionByName(tasks.where("a <> b or i <> j").select(task, F.col("b").alias("cluster"), F.col("j").alias("block")))
-    placed = chosen.join(touched.where("not small"), "cluster").select("doc", "cluster", F.pmod(F.xxhash64("doc"), blocks("size", "hi")).cast("int").alias("block"))
-    wanted = wanted.join(placed, ["cluster", "block"]).select("task", "doc").unionByName(together)
-    wanted = work.keep(wanted.groupBy("doc").agg(F.collect_set("task").alias("tasks")), "wanted")
-
-    dealt = _deal_sets(source.join(wanted.withColumnRenamed("doc", "doc_id").hint("merge"), "doc_id").select("doc_id", "text", "tasks"))
-    links = work.keep(_links(dealt.repartition(parts, "task").sortWithinPartitions("task", "doc"), percent), "links")
-    work.drop("lists", "wanted")
+    lists = work.keep(_lists(_postings(source, held, boundary, percent), parts, percent, 0), "lists0")
+    work.release()
+    met = lists.select(F.col("doc").alias("doc_id")).distinct()
+    sets = work.keep(_sets(source.join(met, "doc_id", "left_semi")), "sets")
+    work.release()
+
+    candidates = sets.count()
+    links = groups = None
+    turn = 0
+    while True:
+        votes = lists.where("passes").groupBy("doc", "middle").agg(F.count(F.lit(1)).alias("votes"))
+        if turn:  # of different components only
+            of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))  # noqa: E731, B023
+            votes = votes.join(of("doc"), "doc", "left").join(of("middle"), "middle", "left")
+            votes = votes.where(F.coalesce("doc_component", "doc") != F.coalesce("middle_component", "middle"))
+        chosen = votes.groupBy("doc").agg(F.max_by("middle", F.struct("votes", -F.col("middle"))).alias("middle"))
+        star = work.keep(chosen.select(F.col("middle").alias("a"), F.col("doc").alias("b")), f"star{turn}")
+        found = work.keep(_links(star, sets, parts, percent), f"links{turn}")
+        links = found if links is None else links.unionAll(found)
+        groups = connected_components(links, lambda df, name, turn=turn: work.keep(df, f"groups{turn}_{name}"))
+        rows = lists.select("key", "doc", "n", "place").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        rows = work.keep(rows, f"labelled{turn}")
+        several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("sets")).where("least < most")
+        rows = rows.join(several.select("key", "sets"), "key")
+        if found.count() <= WORTH * candidates:
+            break
+        turn += 1
+        lists = work.keep(_lists(rows, parts, percent, turn), f"lists{turn}")
+    pairs = work.keep(_meeting_pairs(rows, parts, percent), "pairs")
+    links = links.unionAll(work.keep(_links(pairs, sets, parts, percent), "last_links"))
+    work.drop("sets", "pairs", *(f"{name}{k}" for k in range(turn + 1) for name in ("lists", "labelled", "star")))
     work.release()
 
-    sets = profile.where("kind = 0")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    of_doc = work.keep(sets.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
-    name = lambda c: of_doc.select(F.col("doc_id").alias(c), F.col("class_id").alias(f"{c}_class")).distinct()
-    edges = links.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst"))
+    classes = sets_of.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    of_doc = work.keep(sets_of.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
+    edges = links.select("src", "dst").unionAll(of_doc.where("doc_id <> class_id").select("doc_id", "class_id"))
     found = connected_components(edges, work.keep)
-    return of_doc.join(found, of_doc["class_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"))
+    return of_doc.join(found, of_doc["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op3_jaccard_join(spark, sf_dir):

@@ -89,23 +89,25 @@ def test_jaccard_join_edges(spark):
     assert got == [(-1, -1), (1, 1), (3, 1), (3, 1)]
 
 
-def test_verify_in_blocks():
+def test_linked():
     rng = np.random.default_rng(4)
-    base = rng.choice(5000, 200, replace=False)
-    sets = [np.unique(np.where(rng.random(200) < rng.uniform(0, 0.3), rng.integers(5000, 9000, 200), base)).astype(np.uint64) for _ in range(60)]
-    parent = list(range(60))
-    for a, b in jj.verify(list(range(60)), sets):
-        parent[a] = b
-    label = list(range(60))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(60):
-            for j in range(60):
-                n = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n) and label[j] < label[i]:
-                    label[i], changed = label[j], True
-    assert parent == label
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 40, rng.integers(0, 40))).astype(np.uint64) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        assert jj.linked(a, b) == bool(both and 100 * both >= 75 * (len(a) + len(b) - both))
+
+
+def test_jaccard_join_of_a_common_passage(spark, monkeypatch):
+    """One passage in most documents: whole results, with blocks, chunks and turns."""
+    rng = random.Random(8)
+    monkeypatch.setattr(jj, "BLOCK", 16)
+    passage = [f"p{k}" for k in range(100)]
+    rows = []
+    for k in range(700):
+        own = [f"u{k}_{j}" for j in range(rng.choice([9, 12, 14, 18, 24, 60]))]
+        rows.append((k, " ".join(own + passage) if rng.random() < 0.5 else " ".join(passage[: rng.randint(60, 100)] + own)))
+    got = jj.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
 
 
 def brute_repeats(rows, length):

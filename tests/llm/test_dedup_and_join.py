@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from cohortlens.llm import jaccard_join as jj
-from cohortlens.llm.content_sort_dedup import content_sort
+from cohortlens.llm.content_sort_dedup import content_sort, keep_one
 from cohortlens.llm.suffix_dedup import remove_repeats, suffix_order
 
 SCHEMA = "doc_id long, text string"
@@ -16,12 +16,17 @@ def lower(t):
 
 
 def check_sort(spark, rows, schema=SCHEMA):
-    got = content_sort(spark.createDataFrame(rows, schema), keep="largest").collect()
+    df = spark.createDataFrame(rows, schema)
+    got = content_sort(df, keep="largest").collect()
     groups = {}
     for r in rows:
         groups.setdefault(lower(r[1]), []).append(r[0])
-    want = sorted((d, max(g), len(g), d == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g)
-    assert sorted(map(tuple, got)) == want
+    most = {t: max((d for d in g if d is not None), default=None) for t, g in groups.items()}
+    want = sorted(((d, most[t], len(g), d == most[t], hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g), key=str)
+    assert sorted(map(tuple, got), key=str) == want
+    stay = keep_one(df, keep="largest")
+    assert stay.columns == df.columns
+    assert sorted(map(tuple, stay.collect()), key=str) == sorted((r for r in rows if r[0] == most[lower(r[1])]), key=str)
 
 
 def test_content_sort(spark):
@@ -29,7 +34,7 @@ def test_content_sort(spark):
     rows = [(k, rng.choice(["A b", "a B", "É", "é", "", None, "x" * 30 + "1", "x" * 30 + "2", str(rng.random())])) for k in range(300)]
     check_sort(spark, rows)
     check_sort(spark, [])
-    check_sort(spark, [(1, "a"), (1, "a"), (2, "b")])
+    check_sort(spark, [(1, "a"), (1, "a"), (2, "b"), (None, "b"), (None, "c"), (None, None)])
     check_sort(spark, [(k, "same") for k in range(2000)] + [(5000, "other")])  # a text for several partitions
     check_sort(spark, [(1, "a" * 200_000, "x", 1), (2, "A" * 200_000, None, 2)], "doc_id long, text string, keep_id string, _text int")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.best_fit_packing import pack_documents
 from cohortlens.llm.common import Workspace, read_table
-from cohortlens.llm.content_sort_dedup import content_sort
+from cohortlens.llm.content_sort_dedup import keep_one
 from cohortlens.llm.jaccard_join import near_duplicates
 from cohortlens.llm.language_id import UNDETERMINED, fit, identify
 from cohortlens.llm.pii_bootstrap import redact
@@ -28,15 +28,14 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the largest doc_id stays."""
-    kept = content_sort(docs, keep="largest").where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Exact dedup: of equal texts the largest doc_id stays; a row without an id stays where no equal text has one."""
+    return keep_one(docs, keep="largest")
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of similar documents the smallest doc_id stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """N-gram Jaccard join: of each group of similar documents the smallest doc_id stays; rows without an id stay."""
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

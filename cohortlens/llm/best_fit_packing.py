@@ -1,11 +1,11 @@
 """Packing of documents into sequences (operator 5): a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits in one sequence. The program covers each length's count
-with as few configurations as it can. Multiplicative weights solve it: each length has a price that rises
-while the length lags behind in coverage, a knapsack dynamic program finds the configuration of the highest
-price, and that configuration is used until a length in it is covered (or for a small share of all
-sequences). Rounding keeps the whole part of each configuration's use; what is left over, at most one use
-of each configuration, goes by best fit decreasing.
+with as few configurations as it can. Multiplicative weights solve it: each length has a price that falls
+as the length is covered, a knapsack dynamic program finds the configuration of the highest price, and that
+configuration is used until a length in it is covered (or for a small share of all sequences); each step's
+prices give a lower bound. Rounding keeps the whole part of each configuration's use; what is left over
+goes by best fit decreasing into their room and new sequences. The plan is never worse than best fit alone.
 
 The histogram has no more entries than a sequence has tokens, so the driver's work and memory are bounded
 whatever the number of documents. Documents are tokenised once; the assignment numbers the pieces of each
@@ -35,15 +35,26 @@ BLOCKS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# The added token of the vocabulary: its string in a text is that one id.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 def load_encoder(rank_path: str, pattern: str):
-    """The byte-level BPE of a rank file; per process. Its ids equal those of the JSON vocabulary."""
+    """The byte-level BPE of a rank file, as a function; per process. Its ids equal those of the JSON vocabulary."""
 
     def make():
         import tiktoken
 
         with open(rank_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        return tiktoken.Encoding("cohortlens", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        own = tiktoken.Encoding("cohortlens", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+        def encode(text: str) -> list[int]:
+            if any(token in text for token in SPECIAL):
+                return own.encode(text, allowed_special="all")
+            return own.encode_ordinary(text)
+
+        return encode
 
     return per_process(("bpe", rank_path), make)
 
@@ -59,13 +70,13 @@ def tokenize_pieces(docs: DataFrame, rank_path: str, pattern: str, capacity: int
     """One row for each piece; ``with_ids`` adds the ids themselves as array<int>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(rank_path, pattern)
+        encode = load_encoder(rank_path, pattern)
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
             out: list[tuple] = []
             tokens: list[list[int]] = []
             for doc_id, text in zip(ids_of, batch.column(1)):
-                ids = np.append(np.asarray(encoder.encode_ordinary(text.as_py() or ""), "<u4"), np.uint32(SEPARATOR)).astype("<u4")
+                ids = np.append(np.asarray(encode(text.as_py() or ""), "<u4"), np.uint32(SEPARATOR)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
                     out.append((doc_id, k, start, length, zlib.crc32(own.tobytes())))
@@ -105,67 +116,96 @@ def _price_out(prices: np.ndarray, capacity: int) -> Counter:
     return config
 
 
-def solve_configurations(histogram: dict[int, int], capacity: int, eta: float = 2.0, share: float = 0.005, leave: int = 100_000) -> list[tuple[float, Counter]]:
-    """Fractional uses of configurations that cover an equal part of each length's items.
+def solve_configurations(histogram: dict[int, int], capacity: int, eta: float = 2.0, share: float = 0.005, gap: float = 0.005) -> tuple[list[tuple[float, Counter]], float]:
+    """Fractional uses of configurations that cover each length's count, and a lower bound of the program.
 
-    The part is such that about ``leave`` items, and a fifth at most, stay for best fit: with the same mix
-    of long and short as the whole they fill up well. The last hundredth of the part isn't worth its steps.
+    Multiplicative weights on the dual: a length's price starts at its volume and falls by exp(-eta * part
+    covered). A step uses the configuration of the highest price; it is as large as ``share`` of all
+    sequences, or until a length in it is covered. Prices over the price of that configuration are feasible
+    in the dual, so each step gives a bound. What is over when a part ``gap`` of the volume is left, at any
+    size of the input, is left to rounding.
     """
-    items = sum(n for k, n in histogram.items() if k < capacity)
-    part = 1 - min(0.2, leave / max(items, 1))
     lengths = np.arange(capacity + 1)
     demand = np.zeros(capacity + 1)
     for k, n in histogram.items():
         if 0 < k < capacity:
-            demand[k] = np.floor(n * part)
+            demand[k] = n
     left = demand.copy()
-    sequences = max(1.0, float((lengths * demand).sum()) / capacity)
+    volume = float(lengths @ demand)
+    bound = volume / capacity
     used: list[tuple[float, Counter]] = []
-    while left.sum() > 0.01 * demand.sum():
+    while lengths @ left > gap * volume:
         open_ = left > 1e-9
-        lag = np.divide(left, demand, out=np.zeros_like(left), where=demand > 0)
-        mean = float((lengths * left).sum() / (lengths * demand).sum())
-        prices = np.where(open_, lengths * np.exp(eta * (lag - mean)), -np.inf)
-        config = _price_out(prices, capacity)
-        times = min([share * sequences, *(left[k] / n for k, n in config.items())])
+        covered = 1 - np.divide(left, demand, out=np.zeros_like(left), where=demand > 0)
+        weights = np.where(open_, lengths * np.exp(-eta * covered), 0.0)
+        config = _price_out(np.where(open_, weights, -np.inf), capacity)
+        bound = max(bound, float(weights @ demand) / sum(weights[k] * n for k, n in config.items()))
+        times = min([share * max(1.0, volume / capacity), *(left[k] / n for k, n in config.items())])
         used.append((times, config))
         for k, n in config.items():
             left[k] = max(0.0, left[k] - n * times)
-    return used
+    return used, bound
+
 
+def best_fit(histogram: dict[int, int], capacity: int, bins: dict[tuple, int] | None = None) -> Counter:
+    """Best fit decreasing: each item goes where it leaves the least room. Configurations, as sorted pairs, with their numbers.
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[Counter]:
-    """Best fit decreasing: each item goes where it leaves the least room."""
-    room: list[list[Counter]] = [[] for _ in range(capacity + 1)]
+    ``bins`` are there from the start. Equal bins are one entry with a number, and equal items are placed
+    many at a time, so the work follows the lengths and not the items.
+    """
+    room: list[Counter] = [Counter() for _ in range(capacity + 1)]
     free = np.zeros(capacity + 1, dtype=bool)
+
+    def put(config: tuple, n: int) -> None:
+        k = capacity - sum(length * m for length, m in config)
+        room[k][config] += n
+        free[k] = True
+
+    for config, n in (bins or {}).items():
+        put(config, n)
     for length in sorted(histogram, reverse=True):
-        for _ in range(histogram[length]):
+        n = histogram[length]
+        while n > 0:
             k = int(free[length:].argmax()) + length
-            bin_ = room[k].pop() if free[k] else Counter()
-            if bin_ and not room[k]:
-                free[k] = False
-            rest = (k if bin_ else capacity) - length
-            bin_[length] += 1
-            room[rest].append(bin_)
-            free[rest] = True
-    return [b for bins in room for b in bins]
+            if free[k]:
+                config, there = room[k].popitem()
+                free[k] = bool(room[k])
+            else:
+                k, config, there = capacity, (), n
+            most = k // length  # a bin in use is the best fit for the next item, too
+            full = min(there, n // most)
+            for take, number in ((most, full), (n, 1 if full < there and 0 < n < most else 0), (n - full * most, 1 if full and full < there and n - full * most else 0)):
+                if number and take:
+                    put(tuple(sorted((Counter(dict(config)) + Counter({length: take})).items(), reverse=True)), number)
+                    n -= take * number
+                    there -= number
+            if config and there:
+                put(config, there)
+    out: Counter = Counter()
+    for bins_ in room:
+        out += bins_
+    return out
 
 
 def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[int, Counter]]:
-    """Whole uses of configurations that hold exactly the items of the histogram."""
-    left = Counter({k: n for k, n in histogram.items() if n > 0})
+    """Whole uses of configurations that hold exactly the items of the histogram.
+
+    The program's uses are rounded down; what is left goes by best fit, into their room too. Best fit alone
+    is taken where that needs fewer sequences.
+    """
+    items = Counter({k: n for k, n in histogram.items() if n > 0})
+    left = items.copy()
     whole: Counter = Counter()
     if left.get(capacity):
         whole[((capacity, 1),)] += left.pop(capacity)
-    for times, config in solve_configurations(left, capacity):
+    for times, config in solve_configurations(left, capacity)[0]:
         n = min([int(times + 1e-9), *(left[k] // m for k, m in config.items())])
         if n > 0:
             whole[tuple(sorted(config.items(), reverse=True))] += n
             for k, m in config.items():
                 left[k] -= m * n
-    for config in best_fit(+left, capacity):
-        whole[tuple(sorted(config.items(), reverse=True))] += 1
-    return [(n, Counter(dict(config))) for config, n in sorted(whole.items(), reverse=True)]
+    found = min(best_fit(+left, capacity, whole), best_fit(items, capacity), key=lambda c: c.total())
+    return [(n, Counter(dict(config))) for config, n in sorted(found.items(), reverse=True)]
 
 
 def _lookup(plan: list[tuple[int, Counter]], capacity: int):

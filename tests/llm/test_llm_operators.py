@@ -43,13 +43,59 @@ def test_packing_plan():
     least = sum(k * n for k, n in histogram.items()) / 256
     assert sum(n for n, _ in plan) <= 1.005 * least + 1
     assert bf.plan_packing({}, 256) == []
+    assert bf.plan_packing({256: 3, 1: 0}, 256) == [(3, Counter({256: 1}))]
+
+
+def fewest(items, capacity):
+    """By trying all: sequences that the items need."""
+    best = [len(items)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(rooms)
+            return
+        for r in sorted({r for r in rooms if r >= items[k]}):
+            i = rooms.index(r)
+            place(k + 1, rooms[:i] + [r - items[k]] + rooms[i + 1 :])
+        place(k + 1, rooms + [capacity - items[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_small_instances():
+    rng = random.Random(9)
+    over = 0
+    for _ in range(120):
+        items = sorted((rng.randint(1, 30) for _ in range(rng.randint(1, 11))), reverse=True)
+        histogram, least = Counter(items), fewest(items, 30)
+        plan = bf.plan_packing(histogram, 30)
+        got = Counter()
+        for n, config in plan:
+            assert sum(k * m for k, m in config.items()) <= 30
+            got += Counter({k: m * n for k, m in config.items()})
+        assert got == histogram
+        _, bound = bf.solve_configurations({k: n for k, n in histogram.items() if k < 30}, 30)
+        assert np.ceil(bound - 1e-9) + histogram[30] <= least <= sum(n for n, _ in plan)
+        alone = sum(bf.best_fit(histogram, 30).values())
+        assert sum(n for n, _ in plan) <= alone
+        rooms = []  # best fit by hand
+        for x in items:
+            fits = [r for r in rooms if r >= x]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 30) - x)
+        assert alone == len(rooms)
+        over += sum(n for n, _ in plan) - least
+    assert over <= 3
 
 
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rng = random.Random(2)
     rows = [(k, " ".join(rng.choice(["the", "Äther", "42", "\n\n", "it's", "<|endoftext|>", "  x", "漢字😀"]) for _ in range(rng.randint(0, 90)))) for k in range(150)]
     rows += [(900, None), (901, ""), (902, "word " * 500), (7, rows[7][1])]

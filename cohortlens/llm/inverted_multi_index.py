@@ -83,14 +83,28 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def nearest(q: np.ndarray, v: np.ndarray, first: np.ndarray, allowed: np.ndarray | None, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its place, places of its nearest k entries (ties to the smaller ``first``), distances."""
-    rough = (v**2).sum(1) - 2 * q @ v.T
+    """For each query: its place, places of its nearest k entries (ties to the smaller ``first``), distances.
+
+    A matrix product ranks roughly, on vectors moved to the mean of the entries; all that its error could
+    put among the nearest are ranked by differences of the original vectors.
+    """
+    mean = v.mean(0) if len(v) else np.zeros(v.shape[1])
+    near, far = q - mean, v - mean
+    squares, own_squares = (far**2).sum(1), (near**2).sum(1)
+    rough = squares - 2 * near @ far.T
     if allowed is not None:
         rough = np.where(allowed, rough, np.inf)
-    some = min(len(v), 4 * k)
+    most = squares.max(initial=0.0)
     for r in range(len(q)):
-        own = np.argpartition(rough[r], some - 1)[:some]
-        own = own[np.isfinite(rough[r][own])]
+        reachable = np.isfinite(rough[r])
+        n = int(reachable.sum())
+        if not n:
+            yield r, np.zeros(0, np.int64), np.zeros(0)
+            continue
+        kth = np.partition(rough[r], min(k, n) - 1)[min(k, n) - 1]
+        # Rounding of the sums and of the centred components themselves.
+        error = 8 * (v.shape[1] + 4) * np.finfo(float).eps * (most + own_squares[r] + np.sqrt(most + own_squares[r]) * (np.abs(mean).max(initial=0.0) + np.abs(q[r]).max(initial=0.0)) * v.shape[1])
+        own = np.flatnonzero(reachable & (rough[r] <= kth + 2 * error))
         exact = np.sqrt(((v[own] - q[r]) ** 2).sum(1))
         order = np.lexsort((first[own], exact))[:k]
         yield r, own[order], exact[order]
@@ -139,13 +153,16 @@ def search(
     fitted = np.array([r[0] for r in classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("v").collect()])
     half = (width + 1) // 2
     size = int(min(1024, max(2, round((total / per_cell) ** 0.5)), max(1, len(fitted) // 4)))
-    books = codebook(fitted[:, :half], size), codebook(fitted[:, half:], size) if width > half else np.zeros((1, 0))
+    # Halves are quantised as moved to the sample's mean, so that vectors far from zero keep their differences.
+    mean = fitted.mean(0) if len(fitted) else np.zeros(width)
+    centred = fitted - mean
+    books = codebook(centred[:, :half], size), codebook(centred[:, half:], size) if width > half else np.zeros((1, 0))
     held = spark.sparkContext.broadcast((books, fitted[:probes]))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = held.value[0]
         for batch in batches:
-            x = _matrix(batch.column(1), width)
+            x = _matrix(batch.column(1), width) - mean
             cell = half_distances(x[:, :half], one).argmin(1) * len(two) + half_distances(x[:, half:], two).argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int64))], ["class", "v", "ids", "cell"])
 
@@ -172,7 +189,7 @@ def search(
     for r in true.select("probe", "cell").collect():
         wanted[r[0]].append(divmod(r[1], shape[1]))
     table = counts.reshape(shape)
-    near, far = half_distances(fitted[:probes, :half], books[0]), half_distances(fitted[:probes, half:], books[1])
+    near, far = half_distances(centred[:probes, :half], books[0]), half_distances(centred[:probes, half:], books[1])
     target = calibrate([traverse(near[r], far[r], table, float("inf")) for r in range(len(near))], wanted, table, recall)
 
     chunks_ = max(1, -(-rows.where("q").count() // CHUNK))
@@ -190,7 +207,7 @@ def search(
         (one, two), _ = held.value
         cells_of, start, stop = plan.value
         for batch in batches:
-            x = _matrix(batch.column(1), width)
+            x = _matrix(batch.column(1), width) - mean
             near, far = half_distances(x[:, :half], one), half_distances(x[:, half:], two)
             taken, blocks, cells = [], [], []
             for r in range(len(x)):
@@ -208,9 +225,11 @@ def search(
     queries = rows.where("q").select("id", "v").join(classes.select(F.col("class").alias("qclass"), F.col("v").alias("cv")), F.col("v") == F.col("cv"))
     queries = work.keep(queries.select("id", "qclass", "v"), "queries")
     searches = queries.groupBy("qclass").agg(F.first("v").alias("v")).mapInArrow(visit, "qclass long, qv array<double>, block long, cells array<long>")
-    searches = searches.withColumn("chunk", F.pmod(F.xxhash64("qclass"), F.lit(chunks_)).cast("int"))
-    blocks = entries.mapInArrow(deal, "class long, v array<double>, ids array<long>, cell long, block long")
-    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks_ - 1))))
+    searches = work.keep(searches.withColumn("chunk", F.pmod(F.xxhash64("qclass"), F.lit(chunks_)).cast("int")), "searches")
+    # A block goes to the chunks that visit it, and to no other.
+    visited = searches.select("block", F.col("chunk").alias("to")).distinct()
+    blocks = entries.mapInArrow(deal, "class long, v array<double>, ids array<long>, cell long, block long").join(visited, "block")
+    blocks = blocks.select("class", "v", "ids", "cell", "block", F.col("to").alias("chunk"))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []

@@ -13,6 +13,7 @@ rows get a prediction each. Columns named as an output are replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,6 +27,7 @@ from .common import read_table
 
 UNDETERMINED = "und"
 BUCKETS = 4096
+SALTS = 64
 
 # Which languages are close relatives, by ISO 639-1 code. Any other is a family of its own.
 FAMILIES = {
@@ -141,10 +143,15 @@ def fit(docs: DataFrame, per_language: int = 500, id_col: str = "doc_id", text_c
     """Learn from labelled rows that aren't held out; at most ``per_language`` of each language."""
     text = F.col(text_col).cast("string")
     known = docs.where(F.col(label_col).isNotNull() & text.rlike(r"\p{L}") & ~F.coalesce(held_out(F.col(id_col)), F.lit(False)))
-    known = known.select(F.xxhash64(id_col).alias("_key"), F.col(label_col).cast("string").alias("_lang"), text.alias("_text"))
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_text"))
-    rows = known.withColumn("_place", place).where(F.col("_place") <= per_language).drop("_place").collect()
-    return train(sorted((r["_key"], r["_lang"], r["_text"]) for r in rows))
+    known = known.select(F.xxhash64(id_col).alias("key"), F.col(label_col).cast("string").alias("lang"), F.xxhash64(text).alias("body"), text.alias("text"))
+    # The rows are chosen by numbers alone, in two steps, so that no task holds a language; then their texts are read.
+    order = ["key", "body"]
+    names = known.select("lang", *order).distinct().withColumn("salt", F.pmod(F.xxhash64("key", "body"), F.lit(SALTS)))
+    some = names.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= per_language)
+    chosen = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= per_language)
+    # At most per_language rows of each language.
+    rows = known.join(F.broadcast(chosen.select("lang", *order)), ["lang", *order]).groupBy("lang", *order).agg(F.first("text").alias("text")).collect()
+    return train(sorted((r["key"], r["lang"], r["text"]) for r in rows))
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -152,7 +159,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     own = docs.drop("lang_family", "lang_pred", "score")
     held = own.sparkSession.sparkContext.broadcast(model)
     at = own.columns.index(text_col)
-    has_letter = own.withColumn("_letters", F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
+    letters = f"letters_{uuid.uuid4().hex}"  # no column of the table has that name
+    has_letter = own.select("*", F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias(letters))
     extra = [StructField("lang_family", StringType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     schema = StructType([*own.schema.fields, *extra])
 

@@ -180,6 +180,39 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in li.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_clashing_names_and_copies(spark):
+    rows = [(k, f"the text number {'abc'[k % 3]} with some words", "en", k, "x") for k in range(60)] + [(5000 + k, "el texto con algunas palabras", "es", k, None) for k in range(60)] + [(9, "le mot", None, 1, "y")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _letters int, salt string")
+    out = li.identify(docs, li.fit(docs, per_language=7))
+    assert out.columns[:5] == docs.columns and out.count() == len(rows)
+    assert {r.lang_pred for r in out.where("lang = 'es'").collect()} == {"es"}
+    assert {r.lang_pred for r in out.where("lang = 'en'").collect()} == {"en"}
+    empty = docs.limit(0)
+    assert li.identify(empty, li.fit(empty)).collect() == []
+
+
+def test_nearest_far_from_zero():
+    rng = np.random.default_rng(2)
+    for offset in (0.0, 1e4, 1e8, 1e11):
+        v = offset + rng.normal(size=(400, 8))
+        ids = rng.permutation(400)
+        for r, own, far in imi.nearest(v[:40], v, ids, None, 10):
+            d = np.sqrt(((v - v[r]) ** 2).sum(1))
+            assert list(own) == list(np.lexsort((ids, d))[:10]) and np.array_equal(far, d[own])
+
+
+def test_multi_index_far_from_zero(spark):
+    rng = np.random.default_rng(6)
+    x = 1e8 + np.repeat(rng.normal(size=(20, 8)) * 5, 50, axis=0) + rng.normal(size=(1000, 8))
+    rows = [(k, x[k].tolist(), "v") for k in range(1000)]
+    got = imi.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string"), F.col("vec_id") % 100 == 0).collect()
+    hits = 0
+    for q in range(0, 1000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        hits += len({int(k) for k in np.argsort(d, kind="stable") if k != q and d[k] <= np.sort(d)[10]} & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 90
+
+
 def test_multi_index_recall(spark):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(30, 16))

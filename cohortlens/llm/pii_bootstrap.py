@@ -2,14 +2,16 @@
 
 Base expressions find seed entities (email, ip, card, phone). The seeds induce lexical patterns of two
 sorts: the two words before an entity, and the shape of the entity itself (runs of digits by length, runs
-of letters, other characters as they are). A second reading counts, over all documents, what follows or
-fits each pattern. Spark scores the graph of patterns and instances iteratively: an instance is as sure as
-the noisy-or of its patterns, a pattern as sure as the mean of its instances (seeds count 1, ordinary words
-0). What fits a pattern of high confidence, isn't a seed, and holds as its kind is added as a span: for
-example a card number that a greedy base match swallowed and dropped.
+of letters, other characters as they are). A second reading looks, over all documents, at what follows or
+fits each pattern with ``min_seeds`` distinct seeds: a seed, a candidate, or an ordinary word. Candidates
+have looser forms than the base: spelled or bracketed ``at`` and ``dot``, dots in brackets, phones without a
+plus, other separators, and numbers that a greedy base match swallowed and dropped. Spark scores the graph
+of patterns and instances iteratively: an instance is as sure as the noisy-or of its patterns, a pattern as
+sure as the mean of its instances (seeds count 1, ordinary words 0). Candidates of a pattern of high
+confidence are added as spans.
 
-Patterns need ``min_share`` of all seeds of their kind (and ``min_seeds``), so that there are no more
-than 1 / min_share of a sort and a kind, however large the corpus: they are sent to all tasks.
+Patterns may be as many as the corpus has: tasks get a bitmap of their hashes, of a fixed size, and what
+they find is joined with the patterns by name. Nothing depends on the size of the input.
 
 Base spans are never removed. Null texts count as empty. Repeated rows get a result each. An empty table
 gives an empty result. Columns other than id and text are ignored by ``find``; ``redact`` keeps them.
@@ -19,9 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,24 +105,114 @@ def shape(entity: str) -> str:
     return re.sub(r"[0-9]+", lambda m: f"{{{len(m[0])}}}", short)
 
 
-def shape_expression(form: str) -> str:
-    """A regular expression for a shape that begins and ends with its runs."""
-    out = []
-    for part in re.findall(r"\{[0-9]+\}|a|.", form, re.S):
-        out.append("[A-Za-z]+" if part == "a" else f"[0-9]{part}" if len(part) > 2 else re.escape(part))
-    return "(?<![0-9A-Za-z])" + "".join(out) + "(?![0-9A-Za-z])"
-
-
-def _word(token: str) -> str:
-    return re.sub(r"[0-9]+", "0", token.lower())
+_AT = r"(?:@|\x20?(?:\[at\]|\(at\)|\{at\})\x20?|\x20at\x20)"
+_DOT = r"(?:\.|\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\{dot\})\x20?|\x20dot\x20)"
+# Looser forms of the kinds, for what follows a pattern.
+_LOOSE = (
+    re.compile(rf"[{re.escape(_LOCAL)}]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I),
+    re.compile(rf"[0-9]+(?:{_DOT}[0-9]+){{3}}(?![0-9])", re.I),
+    re.compile(r"[0-9](?:[\x20./_-]?[0-9])+"),
+    re.compile(r"\+?[0-9(][\x20()./_0-9-]*[0-9]"),
+)
+_NUMBERS = re.compile(r"[+(]*[0-9][\x20()./0-9-]*")
+_AT_FORM, _DOT_FORM = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+
+
+def plain(kind: int, entity: str) -> str:
+    """A loose form as the base would write it."""
+    if kind == 0:
+        return _DOT_FORM.sub(".", _AT_FORM.sub("@", entity, count=1))
+    return _DOT_FORM.sub(".", entity) if kind == 1 else re.sub("[./_]", "-", entity)
+
+
+def loose_match(kind: int, text: str, start: int) -> tuple[int, str] | None:
+    """End and plain form of a loose entity at a place: of numbers with spaces the first part that holds as a phone, the longest as a card."""
+    m = _LOOSE[kind].match(text, start)
+    if not m:
+        return None
+    entity = m[0]
+    if kind < 2:
+        form = plain(kind, entity)
+        return (m.end(), form) if holds(KINDS[kind], form) else None
+    # No phone or card has more than 19 digits: what comes later can't belong to it.
+    ends, digits = [], 0
+    for part in re.finditer(r"\S+", entity):
+        digits += len(_DIGIT.findall(part[0]))
+        if digits > 19:
+            break
+        ends.append(part.end())
+    for end in ends if kind == 3 else reversed(ends):
+        if holds(KINDS[kind], form := plain(kind, entity[:end])):
+            return start + end, form
+    return None
+
+
+def number_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of whole parts of runs of numbers, of 4 to 19 digits: what a shape could fit."""
+    for m in _NUMBERS.finditer(text):
+        parts = [(p.start() + m.start(), p.end() + m.start()) for p in re.finditer(r"[^\x20]+", m[0].rstrip(" ().-/"))]
+        sizes = [len(_DIGIT.findall(text[s:e])) for s, e in parts]
+        for i in range(len(parts)):
+            digits = 0
+            for j in range(i, len(parts)):
+                digits += sizes[j]
+                if digits > 19:
+                    break
+                if digits >= 4 and sizes[j]:
+                    yield parts[i][0], parts[j][1]
+
+
+def folded_words(text: str) -> list[bytes]:
+    """Words between ASCII white space, lower-cased, runs of digits as one 0."""
+    return re.sub(r"[0-9]+", "0", text.lower()).encode("utf-8", "replace").split()
 
 
 def left_context(text: str, start: int) -> str:
-    """The two words before an entity, digits folded; empty if there aren't two."""
-    before = text[max(0, start - 80) : start].split()
-    if len(before) < 2 or (start and not text[start - 1].isspace()):
+    """The two words before an entity, folded; empty if there aren't two."""
+    if not start or text[start - 1] not in " \t\n\r\x0b\x0c":
         return ""
-    return " ".join(map(_word, before[-2:]))
+    # Two whole words are all that is read, however long they are.
+    reach = 80
+    while True:
+        low = max(0, start - reach)
+        before = folded_words(text[low:start])
+        if len(before) >= 3 or not low:
+            return b" ".join(before[-2:]).decode() if len(before) >= 2 else ""
+        reach *= 4
+
+
+BITS = 22
+
+
+def left_slots(one: np.ndarray, two: np.ndarray, kind: int) -> np.ndarray:
+    """Bits of the bitmap for pairs of words, by their CRC-32."""
+    h = one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + two.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((kind + 1) * 0x165667B19E3779F9 & (2**64 - 1))
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
+
+
+def shape_slot(form: str, kind: int) -> int:
+    return zlib.crc32(f"{kind}:{form}".encode("utf-8", "replace")) >> (32 - BITS)
+
+
+def _bitmaps(chosen: DataFrame) -> dict[str, np.ndarray]:
+    """For each sort, which hashes have a pattern: 2**BITS booleans, however many patterns there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = []
+            for kind, sort, pattern in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if sort == "left":
+                    one, two = (np.array([zlib.crc32(w)]) for w in pattern.encode("utf-8", "replace").split(b" "))
+                    slots.append(int(left_slots(one, two, kind)[0]))
+                else:
+                    slots.append(shape_slot(pattern, kind))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(slots, pa.int64())], ["sort", "slot"])
+
+    found = chosen.select("kind", "sort", "pattern").mapInArrow(run, "sort string, slot long").distinct().toPandas()
+    maps = {sort: np.zeros(1 << BITS, bool) for sort in ("left", "shape")}
+    for sort, bits in maps.items():
+        bits[found["slot"][found["sort"] == sort].to_numpy(np.int64)] = True
+    return {sort: np.packbits(bits) for sort, bits in maps.items()}
 
 
 def _instance(kind: int, entity: str) -> int:
@@ -154,71 +249,78 @@ def _first_reading(source: DataFrame) -> DataFrame:
 _HITS = "doc_id long, text_key long, kind int, sort string, pattern string, instance long, seed int, start int, end int, n long"
 
 
-def _second_reading(source: DataFrame, patterns: list[tuple[int, str, str]]) -> DataFrame:
-    """Candidates as rows of their own; seeds and ordinary words as counts (doc_id null), combined in each task."""
-    held = source.sparkSession.sparkContext.broadcast(patterns)
+def _second_reading(source: DataFrame, bitmaps: dict[str, np.ndarray]) -> DataFrame:
+    """Candidates as rows of their own; seeds and ordinary words as counts (text_key null), combined in each task."""
+    held = source.sparkSession.sparkContext.broadcast(bitmaps)
     names = ["doc_id", "text_key", "kind", "sort", "pattern", "instance", "seed", "start", "end", "n"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(10)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: dict[str, list[int]] = {}
-        shapes: dict[int, dict[str, str]] = {}
-        for kind, sort, pattern in held.value:
-            if sort == "left":
-                left.setdefault(pattern, []).append(kind)
-            else:
-                shapes.setdefault(kind, {})[pattern] = shape_expression(pattern)
-        firsts = {p.split(" ")[0] for p in left}
-        search = {k: re.compile("|".join(own[p] for p in sorted(own, key=lambda p: (-len(p), p)))) for k, own in shapes.items()}
+        left, shapes = (np.unpackbits(held.value[sort]).astype(bool) for sort in ("left", "shape"))
+        any_left, any_shape = left.any(), shapes.any()
         counts: Counter = Counter()
+
+        def total():
+            out = table([(None, None, k, s, p, None, seed, None, None, n) for (k, s, p, seed), n in counts.items()])
+            counts.clear()
+            return out
+
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, value, text_key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 text = value.as_py()
-                own = {(s, k): e for s, k, e in base_spans(text)} if left or _DIGIT.search(text) or "@" in text else {}
-
-                def seen(kind, sort, pattern, s, e, text=text, own=own, doc_id=doc_id, text_key=text_key, rows=rows):
-                    entity = text[s:e]
-                    if own.get((s, kind)) == e:
-                        counts[kind, sort, pattern, 1] += 1
-                    elif _DIGIT.search(entity) and len(entity) >= 6 and holds(KINDS[kind], entity):
-                        if not any(k == kind and a < e and s < b for (a, k), b in own.items()):
-                            rows.append((doc_id, text_key, kind, sort, pattern, _instance(kind, entity), 0, s, e, 1))
-                    else:
-                        counts[kind, sort, pattern, 0] += 1
-
-                if _DIGIT.search(text):
-                    for kind, expression in search.items():
-                        if kind == 0 and "@" not in text:
-                            continue
-                        for m in expression.finditer(text):
-                            form = shape(m[0])
-                            if form in shapes[kind]:
-                                seen(kind, "shape", form, m.start(), m.end())
-                if left:
-                    words = [_word(w) for w in text.split()]
-                    hits = [k for k, w in enumerate(words) if w in firsts and k + 2 < len(words) and f"{w} {words[k + 1]}" in left]
-                    if hits:
-                        places = [m.span() for m in re.finditer(r"\S+", text)]
-                        for k in hits:
-                            pattern = f"{words[k]} {words[k + 1]}"
-                            s, e = places[k + 2]
-                            e -= len(text[s:e]) - len(text[s:e].rstrip(".,;:!?)\"'"))
-                            for kind in left[pattern]:
-                                seen(kind, "left", pattern, s, max(e, own.get((s, kind), e)), own=own)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(10)], names)
-        total = [(None, None, k, s, p, None, seed, None, None, n) for (k, s, p, seed), n in counts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in total], types[i]) for i in range(10)], names)
+                base = None
+                if any_left:
+                    words = folded_words(text)
+                    sums = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+                    places = None
+                    for kind in range(len(KINDS)):
+                        for k in np.flatnonzero(left[left_slots(sums[:-2], sums[1:-1], kind)]).tolist():
+                            if places is None:
+                                places = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+                                base = {(s, k): e for s, k, e in base_spans(text)}
+                            start, pattern = places[k + 2], (words[k] + b" " + words[k + 1]).decode()
+                            if (start, kind) in base:
+                                counts[kind, "left", pattern, 1] += 1
+                            elif not (loose := loose_match(kind, text, start)):
+                                counts[kind, "left", pattern, 0] += 1
+                            elif not any(k == kind and s < loose[0] and start < e for (s, k), e in base.items()):
+                                end, form = loose
+                                instance = _instance(kind, form)
+                                rows.append((doc_id, text_key, kind, "left", pattern, instance, 0, start, end, 1))
+                                if kind < 2 and shapes[shape_slot(shape(form), kind)]:
+                                    rows.append((doc_id, text_key, kind, "shape", shape(form), instance, 0, start, end, 1))
+                if any_shape and _DIGIT.search(text):
+                    if base is None:
+                        base = {(s, k): e for s, k, e in base_spans(text)}
+                    for start, end in number_runs(text):
+                        form = shape(text[start:end])
+                        for kind in (1, 2, 3):
+                            if not shapes[shape_slot(form, kind)]:
+                                continue
+                            if base.get((start, kind)) == end:
+                                counts[kind, "shape", form, 1] += 1
+                            elif any(k == kind and s < end and start < e for (s, k), e in base.items()):
+                                continue
+                            elif holds(KINDS[kind], text[start:end]):
+                                rows.append((doc_id, text_key, kind, "shape", form, _instance(kind, text[start:end]), 0, start, end, 1))
+                            else:
+                                counts[kind, "shape", form, 0] += 1
+                if len(counts) > 100_000:
+                    yield total()
+            yield table(rows)
+        yield total()
 
     return source.mapInArrow(run, _HITS)
 
 
 def score_graph(edges: list[tuple], counts: dict[tuple, tuple[int, int]], rounds: int) -> dict[tuple, float]:
-    """Scores by hand, for tests: edges (pattern, instance, n), counts pattern -> (seeds, ordinary words)."""
+    """Scores without Spark, for tests: edges (pattern, instance, n), counts pattern -> (seeds, ordinary words)."""
     instance = {i: 0.0 for _, i, _ in edges}
     scores: dict[tuple, float] = {}
     for _ in range(rounds):
-        for p, (seeds, words) in counts.items():
+        for p, (seeds, words) in (dict.fromkeys((e[0] for e in edges), (0, 0)) | counts).items():
             own = [(i, n) for q, i, n in edges if q == p]
             scores[p] = (seeds + sum(n * instance[i] for i, n in own)) / max(1, seeds + words + sum(n for _, n in own))
         for i in instance:
@@ -229,40 +331,43 @@ def score_graph(edges: list[tuple], counts: dict[tuple, tuple[int, int]], rounds
     return scores
 
 
-def find(docs: DataFrame, min_seeds: int = 5, min_share: float = 1e-4, confidence: float = 0.8, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, base and added (arrays of (start, kind, end) in code points, sorted): a row for each row of ``docs``.
+_PATTERN = ["kind", "sort", "pattern"]
 
-    Ids are integers, and may be null or repeat; text_key tells different texts of an id apart.
-    """
-    spark = docs.sparkSession
-    work = Workspace(spark, "pii")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("text_key", F.xxhash64("text"))
-    first = work.keep(_first_reading(source), "first")
 
-    edges = first.select(F.explode("seeds").alias("e")).select("e.*")
-    kinds = {r["kind"]: r["n"] for r in edges.where("sort = 'shape'").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    support = edges.groupBy("kind", "sort", "pattern", "instance").agg(F.count(F.lit(1)).alias("m"))
-    support = support.groupBy("kind", "sort", "pattern").agg(F.count(F.lit(1)).alias("distinct"), F.sum("m").alias("m"))
-    need = F.coalesce(*[F.when(F.col("kind") == k, F.lit(max(min_seeds, n * min_share))) for k, n in kinds.items()], F.lit(float(min_seeds)))
-    # Bounded: a pattern takes a share of its kind's seeds.
-    chosen = [(r[0], r[1], r[2]) for r in support.where((F.col("distinct") >= min_seeds) & (F.col("m") >= need)).select("kind", "sort", "pattern").orderBy("kind", "sort", "pattern").collect()]
-
-    hits = work.keep(_second_reading(source, chosen), "hits")
-    key = ["kind", "sort", "pattern"]
-    fixed = work.keep(hits.where("text_key is null").groupBy(*key).agg(F.sum(F.col("n") * F.col("seed")).alias("seeds"), F.sum("n").alias("known")), "fixed")
-    graph = work.keep(hits.where("text_key is not null").groupBy(*key, "instance").agg(F.sum("n").alias("n")), "graph")
+def score(hits: DataFrame, rounds: int, work: Workspace) -> DataFrame:
+    """kind, sort, pattern, score: the graph of patterns and instances, scored in turns."""
+    fixed = work.keep(hits.where("text_key is null").groupBy(*_PATTERN).agg(F.sum(F.col("n") * F.col("seed")).alias("seeds"), F.sum("n").alias("known")), "fixed")
+    graph = work.keep(hits.where("text_key is not null").groupBy(*_PATTERN, "instance").agg(F.sum("n").alias("n")), "graph")
     scores = None
     instances = graph.select("instance").distinct().withColumn("sure", F.lit(0.0))
     for k in range(rounds):
-        own = graph.join(instances, "instance").groupBy(*key).agg(F.sum(F.col("n") * F.col("sure")).alias("won"), F.sum("n").alias("all"))
-        scores = fixed.join(own, key, "full").select(*key, ((F.coalesce("seeds", F.lit(0)) + F.coalesce("won", F.lit(0.0))) / F.greatest(F.lit(1), F.coalesce("known", F.lit(0)) + F.coalesce("all", F.lit(0)))).alias("score"))
+        own = graph.join(instances, "instance").groupBy(*_PATTERN).agg(F.sum(F.col("n") * F.col("sure")).alias("won"), F.sum("n").alias("all"))
+        scores = fixed.join(own, _PATTERN, "full").select(*_PATTERN, ((F.coalesce("seeds", F.lit(0)) + F.coalesce("won", F.lit(0.0))) / F.greatest(F.lit(1), F.coalesce("known", F.lit(0)) + F.coalesce("all", F.lit(0)))).alias("score"))
         scores = work.keep(scores, f"scores{k}")
         # 1 - product of (1 - score): zero where a pattern is certain.
         miss = F.sum(F.ln(F.greatest(F.lit(1e-12), 1 - F.col("score"))))
-        instances = work.keep(graph.join(F.broadcast(scores), key).groupBy("instance").agg((1 - F.exp(miss)).alias("sure")), f"instances{k}")
+        instances = work.keep(graph.join(scores, _PATTERN).groupBy("instance").agg((1 - F.exp(miss)).alias("sure")), f"instances{k}")
+    return scores
+
+
+def find(docs: DataFrame, min_seeds: int = 5, confidence: float = 0.8, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, base and added (arrays of (start, kind, end) in code points, sorted): a row for each row of ``docs``.
+
+    Ids are integers, and may be null or repeat; text_key tells different texts of an id apart.
+    """
+    work = Workspace(docs.sparkSession, "pii")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = source.withColumn("text_key", F.xxhash64("text"))
+    first = work.keep(_first_reading(source), "first")
+
+    edges = first.select(F.explode("seeds").alias("e")).select("e.*").distinct()
+    chosen = edges.groupBy(*_PATTERN).agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds)
+    chosen = work.keep(chosen.select(*_PATTERN), "chosen")
+    # Hashes that two patterns or a pattern and another pair of words share are told apart here.
+    hits = work.keep(_second_reading(source, _bitmaps(chosen)).join(chosen, _PATTERN, "left_semi"), "hits")
+    scores = score(hits, rounds, work)
 
-    added = hits.where("text_key is not null").join(F.broadcast(scores.where(F.col("score") >= confidence).select(*key)), key, "left_semi")
+    added = hits.where("text_key is not null").join(scores.where(F.col("score") >= confidence).select(*_PATTERN), _PATTERN, "left_semi")
     added = added.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("added"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     return first.select("doc_id", "text_key", F.col("spans").alias("base")).join(added, same, "left").drop("_id", "_key").withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
@@ -275,11 +380,12 @@ def _digest(spans):
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets; same columns."""
-    found = find(docs, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.array_sort(F.array_union("base", "added")).alias("_pii"))
-    found = found.where(F.size("_pii") > 0).dropDuplicates(["_pii_id", "_pii_key"])
+    own = uuid.uuid4().hex  # no column of the table has such names
+    found = find(docs, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias(f"id_{own}"), F.col("text_key").alias(f"key_{own}"), F.array_sort(F.array_union("base", "added")).alias(f"spans_{own}"))
+    found = found.where(F.size(f"spans_{own}") > 0).dropDuplicates([f"id_{own}", f"key_{own}"])
     at, names = docs.columns.index(text_col), docs.columns
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_pii_key"))
-    joined = docs.join(found, same, "left").select(*[docs[c] for c in names], F.col("_pii"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col(f"id_{own}")) & (F.xxhash64(docs[text_col].cast("string")) == F.col(f"key_{own}"))
+    joined = docs.join(found, same, "left").select(*[docs[f"`{c}`"] for c in names], F.col(f"spans_{own}"))
     schema = StructType([f if f.name != text_col else StructField(text_col, StringType()) for f in docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import best_fit_packing as bf, inverted_multi_index as imi, language_id as li, merge_dropout as md, pii_bootstrap as pii, rendezvous_sharding as rs, tool_calls as tc
+from cohortlens.llm.common import Workspace
 
 SCHEMA = "doc_id long, text string"
 DATA = "/root/testdata/sf0.01"
@@ -273,6 +274,53 @@ def test_bootstrap_finds_swallowed_entities(spark):
     assert pii.find(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_bootstrap_finds_loose_forms(spark):
+    rng = random.Random(11)
+    digits = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+
+    def card():
+        while not pii.luhn(c := "4" + digits(15)):
+            pass
+        return c
+
+    rows = []
+    for k in range(40):
+        rows += [(len(rows), f"please write to {digits(3)}x@mail{k}.example.com soon"), (len(rows) + 1, f"client address: 10.{k}.{k * 3}.7 was seen"), (len(rows) + 2, f"paid with {card()} last week"), (len(rows) + 3, f"or call me +1 ({rng.randint(200, 999)}) 555-{digits(4)} today")]
+    loose = {"email": "ann.b [at] corp dot example.org", "ip": "172[.]16[.]9[.]31", "card": "4111.1111.1111.1111", "phone": "269 555 3296"}
+    before = {"email": "write to", "ip": "client address:", "card": "paid with", "phone": "call me"}
+    planted = {}
+    for kind, entity in loose.items():
+        text = f"somebody {before[kind]} {entity} and more"
+        start = text.index(entity)
+        planted[1000 + len(planted)] = f"{kind}:{start}:{start + len(entity)}"
+        rows.append((999 + len(planted), text))
+    clean = [(2000 + k, t) for k, t in enumerate(["the figures 269 555 3296 in a table", "meet at noon dot com is no address", "year 2024 12 31 paid with care", "call me later", "v1.2.3 of 10 2024", "4111.1111.1111.1111 alone"])]
+    got = {r.doc_id: r for r in pii.digest_columns(pii.find(spark.createDataFrame(rows + clean, SCHEMA))).collect()}
+    for doc_id, span in planted.items():
+        assert got[doc_id].spans == span, (got[doc_id].spans, span)
+    assert all(not got[d].spans for d, _ in clean)
+    more = spark.createDataFrame([(d, t, 1, 2) for d, t in rows + clean], "doc_id long, text string, _pii int, kind int")
+    assert pii.redact(more).columns == more.columns and pii.redact(more).where("text like '%[PHONE]%'").count() == 41
+
+
+def test_score_against_brute_force(spark):
+    rng = random.Random(5)
+    rows, edges, counts = [], [], {}
+    for p in range(12):
+        pattern = (p % 3, "left", f"a b{p}")
+        counts[pattern] = (rng.randint(0, 6), rng.randint(0, 3))
+        for seed, n in zip((1, 0), counts[pattern]):
+            if n:
+                rows.append((None, None, *pattern, None, seed, None, None, n))
+        for i in rng.sample(range(15), 4):
+            n = rng.randint(1, 3)
+            edges.append((pattern, i, n))
+            rows.append((1, 2, *pattern, i, 0, 0, 5, n))
+    got = pii.score(spark.createDataFrame(rows, pii._HITS), 4, Workspace(spark, "test")).collect()
+    want = pii.score_graph(edges, counts, 4)
+    assert {(r.kind, r.sort, r.pattern): pytest.approx(r.score, abs=1e-9) for r in got} == want
+
+
 def test_tool_calls(spark):
     system = '<tools>[{"name":"f","parameters":{"type":"object","required":["x"],"properties":{"x":{"type":"integer"}}}}]</tools>'
     rows = [

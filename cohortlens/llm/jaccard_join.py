@@ -7,18 +7,22 @@ they share an element among the first ones of each (the prefix).
 * Small sets (up to a boundary) enumerate the 2-element subsets of a slightly longer prefix. The boundary is
   the size at which subsets cost more postings than inverted lists cost postings times list length, by
   statistics of all documents.
-* Large sets post their prefix to inverted lists, each element with its place in the set. Two sets that
-  meet in a list can link only if what lies behind the element in both is enough; a linked pair passes at
-  the first element that it shares.
+* Large sets post their prefix to inverted lists.
 
-Lists of near copies are long and mutually alike, and only their classes are wanted. So sets are first
-compared with one set of their lists (a star, linear in the lists' length), and those that link are one
-component; stars with other middles follow while they link much. What is left are pairs of sets of
-different components that meet in a list and pass by place: each is compared exactly. Long lists are cut in
-blocks, and a middle's members are dealt in chunks, so no task gathers a list or a group of copies.
+Lists of rare elements are short (under OFTEN sets, but for what ORDERED leaves out): their pairs are counted
+over all lists, and those that share too few to link are dropped.
 
-Every link between components is found: a linked pair shares a prefix element at which it passes by place,
-and is compared unless stars have connected it already. Equal sets are one class by a 128-bit digest.
+Lists of frequent elements and of subsets can be long and, for near copies, mutually alike, and only classes
+are wanted. So sets are first compared with one set of their lists (a star, linear in the lists' length),
+and those that link are one component; stars with other middles follow while they link much. What is left
+are pairs of sets of different components that meet in a list and have enough behind the element in both,
+as linked sets do at the first element that they share. Long lists are cut in blocks, and a middle's members
+are dealt in chunks, so no task gathers a list or a group of copies.
+
+Every link between components is found. A linked pair shares at least a number of prefix elements; if any is
+rare, it shares so many rare ones, less the frequent ones in the shorter prefix, which is what the count asks
+for. If none is, the first that it shares is frequent, and it passes there. All that remain are compared
+exactly, unless stars have connected them already. Equal sets are one class by a 128-bit digest.
 
 Null or empty texts have no shingles and link with nothing. Texts of fewer words than a shingle are one
 shingle. Repeated rows are equal sets; rows of one id are one document in links. Rows with a null id get a
@@ -191,39 +195,45 @@ def choose_boundary(list_length: float, percent: int = PERCENT) -> int:
     return n
 
 
-def _order(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A set in the order of all sets: rare shingles by hash, then frequent ones by frequency. often: buckets, ascending."""
+def _order(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set in the order of all sets: rare shingles by hash, then frequent ones by frequency, and how many these are. often: buckets, ascending."""
     if not len(often):
-        return own
+        return own, 0
     bucket = (own >> np.uint64(32)).astype(np.uint32)
     at = np.searchsorted(often, bucket)
     at[at == len(often)] = 0
     hit = often[at] == bucket
     if not hit.any():
-        return own
+        return own, 0
     late = own[hit]
-    return np.concatenate([own[~hit], late[np.argsort(rank[at[hit]], kind="stable")]])
+    return np.concatenate([own[~hit], late[np.argsort(rank[at[hit]], kind="stable")]]), len(late)
+
 
+def prefix_keys(own: np.ndarray, frequent: int, boundary: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of an ordered set, of which the last ``frequent`` elements are frequent, and a number for each.
 
-def prefix_keys(own: np.ndarray, boundary: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of an ordered set, and the place of each: elements before it. Subsets of small sets have place 0."""
+    The lowest bit of a key tells sorts apart. 0: a rare element, with the number of frequent ones in the
+    prefix. 1: a frequent element, with its place in the set, or a subset of a small set, with place 0.
+    """
     n = len(own)
     p1 = prefix_length(n, percent)
     large = n > boundary
-    keys, places = [own[:0]], [np.zeros(0, np.int64)]
+    keys, numbers = [own[:0]], [np.zeros(0, np.int64)]
     if n >= 3 and not large:
         first = own[: p1 + 1]
         a, b = np.triu_indices(len(first), 1)
         lo, hi = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
-        keys.append(np.unique(_finish(lo * _MIX[1] + hi * _MIX[2] + _MIX[3])))
-        places.append(np.zeros(len(keys[-1]), np.int64))
+        keys.append(np.unique(_finish(lo * _MIX[1] + hi * _MIX[2] + _MIX[3]) | np.uint64(1)))
+        numbers.append(np.zeros(len(keys[-1]), np.int64))
     if large or 100 * n >= percent * (boundary + 1):  # may link with a large one
-        keys.append(own[:p1])
-        places.append(np.arange(p1))
-    return np.concatenate(keys), np.concatenate(places)
+        place = np.arange(p1)
+        often = place >= n - frequent
+        keys.append((own[:p1] & ~np.uint64(1)) | often.astype(np.uint64))
+        numbers.append(np.where(often, place, int(often.sum())))
+    return np.concatenate(keys), np.concatenate(numbers)
 
 
-_POSTING = "key long, doc long, n int, place int"
+_POSTING = "key long, doc long, n int, number int"
 
 
 def _postings(source: DataFrame, held, boundary: int, percent: int) -> DataFrame:
@@ -235,10 +245,10 @@ def _postings(source: DataFrame, held, boundary: int, percent: int) -> DataFrame
         import xxhash
 
         def out(parts):
-            keys, places = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
+            keys, numbers = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
             sizes = [len(p[0]) for p in parts]
             doc, n = (np.repeat(np.array([p[i] for p in parts], np.int64), sizes) for i in (2, 3))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32))], ["key", "doc", "n", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(numbers.astype(np.int32))], ["key", "doc", "n", "number"])
 
         for batch in batches:
             parts, held_keys = [], 0
@@ -254,9 +264,9 @@ def _postings(source: DataFrame, held, boundary: int, percent: int) -> DataFrame
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(mark)
-                keys, places = prefix_keys(_order(own, often, rank), boundary, percent)
+                keys, numbers = prefix_keys(*_order(own, often, rank), boundary, percent)
                 if len(keys):
-                    parts.append((keys, places, doc, len(own)))
+                    parts.append((keys, numbers, doc, len(own)))
                     held_keys += len(keys)
                 if held_keys > 500_000:
                     yield out(parts)
@@ -271,46 +281,100 @@ def _passes(n, place, m, other, percent: int):
     return np.minimum(n - place, m - other) >= -(-percent * (n + m) // (100 + percent))
 
 
+def _least_shared(n, m, percent: int):
+    """Prefix elements that linked sets of n and m elements share at least: all common ones but those behind the prefix that ends first."""
+    most = np.maximum(-(-percent * n // 100), -(-percent * m // 100)) - 1
+    return -(-percent * (n + m) // (100 + percent)) - most
+
+
+_LIST = "key long, doc long, n int, place int, middle long, passes boolean"
+
+
 def _lists(postings: DataFrame, parts: int, percent: int, turn: int) -> DataFrame:
-    """Postings of keys with two or more, with a middle: one set of the key of about that size, another each turn."""
+    """What postings of keys with two or more say, in rows of two sorts.
+
+    Of frequent keys, the posting with a middle: one set of the key of about that size, another each turn.
+    Of rare keys (key null), pairs doc < middle with n, how many rare keys they share (summed in a task), and
+    place, how many a linked pair of them shares at least.
+    """
     log = float(np.log(100 / percent))
     names = ["key", "doc", "n", "place", "middle", "passes"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the last row, whether a row of its key came before, its middle
+    def frequent(own, middle, which):
+        _, doc, n, place, _ = own
+        passes = _passes(n, place, middle[1], middle[2], percent) & (doc != middle[0])
+        columns = [*own[:4], middle[0], passes]
+        kinds = [np.int64, np.int64, np.int32, np.int32, np.int64, bool]
+        return pa.RecordBatch.from_arrays([pa.array(c[which].astype(t)) for c, t in zip(columns, kinds)], names)
 
-        def out(own, middle, which):
-            _, doc, n, place, _ = own
-            passes = _passes(n, place, middle[1], middle[2], percent) & (doc != middle[0])
-            columns = [*own[:4], middle[0], passes]
-            kinds = [np.int64, np.int64, np.int32, np.int32, np.int64, bool]
-            return pa.RecordBatch.from_arrays([pa.array(c[which].astype(t)) for c, t in zip(columns, kinds)], names)
+    def pairs(own):
+        key, doc, n, long, _ = own
+        for step in range(1, len(key)):
+            i = np.flatnonzero(key[step:] == key[:-step])
+            if not len(i):
+                break
+            j = i + step
+            fits = (doc[i] != doc[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+            i, j = i[fits], j[fits]
+            yield np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.ones(len(i), np.int64), _least_shared(n[i], n[j], percent) - np.minimum(long[i], long[j])])
+
+    def summed(held):
+        a, b, n, least = np.concatenate(held, axis=1)
+        order = np.lexsort((b, a))
+        a, b, n, least = a[order], b[order], n[order], least[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, int)
+        return np.stack([a[first], b[first], np.add.reduceat(n, first) if len(a) else n, least[first]])
+
+    def pair_rows(held):
+        a, b, n, least = held
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(n.astype(np.int32)), pa.array(least.astype(np.int32)), pa.array(b), pa.nulls(len(a), pa.bool_())], names)
 
-        for batch in batches:
-            if not batch.num_rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # rows of the last rare key
+        last = None  # of frequent keys: the last row, whether a row of its key came before, its middle
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            own = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)] if batch is not None else [np.zeros(0, np.int64)] * 5
+            rare = int((own[0] & 1 == 0).sum())  # they come first
+            few = [c[:rare] for c in own]
+            if rest is not None:
+                few = [np.concatenate([r, c]) for r, c in zip(rest, few)]
+                rest = None
+            if len(few[0]):
+                if batch is not None and rare == len(own[0]):
+                    start = int(np.searchsorted(few[0], few[0][-1]))
+                    rest, few = [c[start:] for c in few], [c[:start] for c in few]
+                for found in pairs(few):
+                    held.append(found)
+                    size += found.shape[1]
+                    if size > 2_000_000:
+                        yield pair_rows(summed(held))
+                        held, size = [], 0
+            own = [c[rare:] for c in own]
+            if not len(own[0]):
                 continue
-            own = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
             if last:
                 own = [np.concatenate([c, o]) for c, o in zip(last[0], own)]
-            key, doc, n, place, size = own
+            key, doc, n, place, about = own
             new_key = np.append(True, key[1:] != key[:-1])
-            new = new_key | np.append(True, size[1:] != size[:-1])
+            new = new_key | np.append(True, about[1:] != about[:-1])
             middle = np.stack([doc, n, place])[:, np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
             had = ~new_key
             if last:
                 had[0] = last[1]
                 stop = np.flatnonzero(new[1:])
                 middle[:, : stop[0] + 1 if len(stop) else len(key)] = last[2][:, None]
-            shared = np.append(had[:-1] | (key[1:] == key[:-1]), False)
-            yield out(own, middle, shared)
+            yield frequent(own, middle, np.append(had[:-1] | (key[1:] == key[:-1]), False))
             last = [c[-1:] for c in own], bool(had[-1]), middle[:, -1]
         if last and last[1]:
-            yield out(last[0], last[2][:, None], slice(None))
+            yield frequent(last[0], last[2][:, None], slice(None))
+        if held:
+            yield pair_rows(summed(held))
 
-    size = F.floor(F.log("n") / log).cast("int")
-    dealt = postings.select("key", "doc", "n", "place").repartition(parts, "key").withColumn("size", size)
+    about = F.floor(F.log("n") / log).cast("int")
+    dealt = postings.repartition(parts, "key").withColumn("about", about)
     order = "doc" if not turn else F.xxhash64("doc", F.lit(turn))
-    return dealt.sortWithinPartitions("key", "size", order, "doc").mapInArrow(run, "key long, doc long, n int, place int, middle long, passes boolean")
+    return dealt.sortWithinPartitions(F.col("key").bitwiseAND(F.lit(1)), "key", "about", order, "doc").mapInArrow(run, _LIST)
 
 
 def _meeting_pairs(rows: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -366,7 +430,7 @@ def _meeting_pairs(rows: DataFrame, parts: int, percent: int) -> DataFrame:
     cut = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "n", "place", "component")
     dealt = cut.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def linked(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
@@ -440,37 +504,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
     work.drop("profile", "counts")
     work.release()
 
-    lists = work.keep(_lists(_postings(source, held, boundary, percent), parts, percent, 0), "lists0")
+    lists = work.keep(_lists(_postings(source, held, boundary, percent), parts, percent, 0), "lists")
     work.release()
-    met = lists.select(F.col("doc").alias("doc_id")).distinct()
+    close = lists.where("key is null").groupBy(F.col("doc").alias("a"), F.col("middle").alias("b")).agg(F.sum("n").alias("shared"), F.max("place").alias("least"))
+    close = work.keep(close.where("shared >= least").select("a", "b"), "close")
+    lists = work.keep(lists.where("key is not null"), "lists0")
+    work.drop("lists")
+    met = lists.select("doc").unionAll(close.select("a")).unionAll(close.select("b")).distinct().withColumnRenamed("doc", "doc_id")
     sets = work.keep(_sets(source.join(met, "doc_id", "left_semi")), "sets")
     work.release()
 
-    candidates = sets.count()
+    candidates = lists.select("doc").distinct().count()
     links = groups = None
     turn = 0
+    component = lambda df, c: df.join(groups.select(F.col("node").alias(c), F.col("component").alias("_")), c, "left").withColumn(f"{c}_component", F.coalesce("_", c)).drop("_")
     while True:
         votes = lists.where("passes").groupBy("doc", "middle").agg(F.count(F.lit(1)).alias("votes"))
-        if turn:  # of different components only
-            of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))  # noqa: E731, B023
-            votes = votes.join(of("doc"), "doc", "left").join(of("middle"), "middle", "left")
-            votes = votes.where(F.coalesce("doc_component", "doc") != F.coalesce("middle_component", "middle"))
+        if turn:
+            votes = component(component(votes, "doc"), "middle").where("doc_component <> middle_component")
         chosen = votes.groupBy("doc").agg(F.max_by("middle", F.struct("votes", -F.col("middle"))).alias("middle"))
         star = work.keep(chosen.select(F.col("middle").alias("a"), F.col("doc").alias("b")), f"star{turn}")
         found = work.keep(_links(star, sets, parts, percent), f"links{turn}")
         links = found if links is None else links.unionAll(found)
         groups = connected_components(links, lambda df, name, turn=turn: work.keep(df, f"groups{turn}_{name}"))
-        rows = lists.select("key", "doc", "n", "place").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        rows = work.keep(rows, f"labelled{turn}")
+        rows = work.keep(component(lists.select("key", "doc", "n", "place"), "doc").withColumnRenamed("doc_component", "component"), f"labelled{turn}")
         several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("sets")).where("least < most")
         rows = rows.join(several.select("key", "sets"), "key")
         if found.count() <= WORTH * candidates:
             break
         turn += 1
-        lists = work.keep(_lists(rows, parts, percent, turn), f"lists{turn}")
-    pairs = work.keep(_meeting_pairs(rows, parts, percent), "pairs")
+        lists = work.keep(_lists(rows.select("key", "doc", "n", "place"), parts, percent, turn), f"lists{turn}")
+        work.release()
+    apart = component(component(close, "a"), "b").where("a_component <> b_component").select("a", "b")
+    pairs = work.keep(_meeting_pairs(rows, parts, percent).unionAll(apart).distinct(), "pairs")
     links = links.unionAll(work.keep(_links(pairs, sets, parts, percent), "last_links"))
-    work.drop("sets", "pairs", *(f"{name}{k}" for k in range(turn + 1) for name in ("lists", "labelled", "star")))
+    work.drop("sets", "pairs", "close", *(f"{name}{k}" for k in range(turn + 1) for name in ("lists", "labelled", "star")))
     work.release()
 
     classes = sets_of.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))

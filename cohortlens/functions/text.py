@@ -75,30 +75,83 @@ def lcs_distance(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "long")(a, b)
 
 
-# What LaTeX leaves in text, in the order in which it is taken out.
+# How LaTeX becomes plain text, in order; what it says stays.
 LATEX_RULES = [
-    (r"\\documentclass(\[[^\]]*\])?\{[^}]*\}", ""),
-    (r"\\usepackage(\[[^\]]*\])?\{[^}]*\}", ""),
-    (r"\\(begin|end)\{[^}]*\}", ""),
-    (r"\$[^$]*\$", " "),
-    (r"\\[a-zA-Z]+\{([^}]*)\}", "$1"),
-    (r"\\[a-zA-Z]+", ""),
+    (r"\\\(|\\\)", ""),
+    (r"\\\[|\\\]", ""),
+    (r"\\{1,2}text\{([^}]*)\}", "$1"),
+    (r"\\(log|ln|exp|sin|cos|tan)\b", "$1"),
+    (r"\^\{([^}]*)\}", "$1"),
+    (r"\^(\w)", "$1"),
+    (r"_\{([^}]*)\}", "$1"),
+    (r"_(\w)", "$1"),
+    (r"\\left([(\[|])", "$1"),
+    (r"\\right([)\]|])", "$1"),
+    (r"\\frac\{([^}]*)\}\{([^}]*)\}", "$1/$2"),
+    (r"\\(\w+)", "$1"),
     (r"[{}]", ""),
+    (r"  +", " "),
+]
+# Traces of layout and citations in extracted text, in order.
+CLEAN_RULES = [
+    (r"\s+", " "),
+    (r"^ | $", ""),
+    (r"^(\d+\.)+\d*\s*", ""),
+    (r"\.\s+(\d+\.)+\d*\s+", ". "),
+    (r"([,;.])\s*([,;.])", "$2"),
+    (r"\s+([,;.])", "$1"),
+    (r"\([A-Z][a-zA-Z\s&,;.]+et al[,;\s.]*\)", ""),
+    (r"\[\s*[,;–—\-\s]*\s*\]", ""),
+    (r"\(\s*[,;–—\-\s]*\s*\)", ""),
+    (r"\s+", " "),
+    (r"^ | $", ""),
+    (r"[,;]\s*[–—\-]\s*[,;.]", "."),
+    (r"[,;]\s*[–—\-]\s*$", "."),
+    (r"[–—\-]\s*[,;.]", "."),
+    (r"\(\s+", "("),
+    (r"\s+\)", ")"),
+    (r"\[\s+", "["),
+    (r"\s+\]", "]"),
+    (r"\s+([,;.:!?])", "$1"),
+    (r"\s+", " "),
+    (r"^ | $", ""),
+    (r"\.{2,}", "."),
+    (r",{2,}", ","),
 ]
 
 
-def strip_latex(c: Column) -> Column:
-    for pattern, by in LATEX_RULES:
+def apply_rules(c: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, by in rules:
         c = F.regexp_replace(c, pattern, by)
-    return squish(c)
+    return c
+
+
+def rules_sql(c: str, rules: list[tuple[str, str]], trim: bool = False) -> str:
+    """The same rules as SQL."""
+    for pattern, by in rules:
+        own = by.replace("$", "\\")
+        c = f"regexp_replace({c}, '{pattern}', '{own}', 'g')"
+    return f"trim({c})" if trim else c
+
+
+def strip_latex(c: Column) -> Column:
+    """Plain text of formulas: commands and braces go, what they hold stays; a fraction is a/b."""
+    return F.trim(apply_rules(c, LATEX_RULES))
+
+
+def plain(c: Column) -> Column:
+    """NFKC, then entities as their characters."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unescape(unicodedata.normalize("NFKC", t)).replace("\xa0", " "))
+
+    # Only what such a change could touch leaves the JVM.
+    return F.when(c.rlike(r"[^\x00-\x7F]|&"), F.pandas_udf(run, "string")(c)).otherwise(c)
 
 
 def clean(c: Column) -> Column:
-    """Bracketed citations, section numbers at the start, and loose white space go."""
-    c = F.regexp_replace(c, r"\[\s*\d+(\s*[,-]\s*\d+)*\s*\]", "")
-    c = F.regexp_replace(c, r"^\s*\d+(\.\d+)*\.?\s+", "")
-    c = F.regexp_replace(c, r"\s+([.,;:])", "$1")
-    return squish(c)
+    """Extracted text without section numbers, citations and what they leave of punctuation and brackets."""
+    return F.trim(apply_rules(plain(c), CLEAN_RULES))
 
 
 def sentences(c: Column) -> Column:

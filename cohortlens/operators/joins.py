@@ -18,25 +18,37 @@ def interval_join(facts: DataFrame, ranges: DataFrame, group: str, value: str, l
     when ranges are many; a value has one cell, so no pair comes twice.
     """
     cells = F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))
-    cut = ranges.where(F.col(lo) <= F.col(hi)).withColumn("_cell", F.explode(cells))
+    cut = small(ranges.where(F.col(lo) <= F.col(hi)).withColumn("_cell", F.explode(cells)))
     own = facts.withColumn("_cell", F.floor(F.col(value) / width))
     on = (own[group] == cut[group]) & (own["_cell"] == cut["_cell"]) & own[value].between(cut[lo], cut[hi])
     return own.join(cut, on, how).select(*[own[c] for c in facts.columns], *[cut[c] for c in ranges.columns if c != group])
 
 
+# Rows up to which a dimension table may go to every task.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, if it has no more than SMALL rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df.hint("merge")
+
+
 def contains_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term", ignore_case: bool = True) -> DataFrame:
     """(key, term) where the text holds the term as whole words.
 
-    Texts are cut into words and joined with the first word of each term; the candidates are then checked,
-    so the cost follows the words that meet and not texts times terms.
+    The distinct words of a text, without the text, meet the first word of each term; the texts come back
+    for the candidates alone, to be checked whole. So the cost follows the words that meet, and no text is
+    copied for each of its words.
     """
     fold = F.lower if ignore_case else (lambda c: c)
     tokens = F.filter(F.split(fold(F.col(text)), r"[^\p{L}\p{N}]+", -1), lambda x: x != "")
-    words = texts.select(key, text, F.explode(F.array_distinct(tokens)).alias("_w"))
-    heads = terms.select(F.col(term), F.filter(F.split(fold(F.col(term)), r"[^\p{L}\p{N}]+", -1), lambda x: x != "").alias("_t")).where(F.size("_t") > 0)
+    words = texts.select(F.col(key), F.explode(F.array_distinct(tokens)).alias("_w"))
+    heads = terms.select(F.col(term), F.filter(F.split(fold(F.col(term)), r"[^\p{L}\p{N}]+", -1), lambda x: x != "").alias("_t")).where(F.size("_t") > 0).distinct()
     heads = heads.select(term, F.col("_t")[0].alias("_w"), F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")).alias("_needle"))
+    candidates = words.join(small(heads), "_w").groupBy(key).agg(F.collect_set(F.struct(term, "_needle")).alias("_terms"))
     hay = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    return words.join(heads, "_w").where(F.contains(hay, F.col("_needle"))).select(key, term).distinct()
+    both = texts.select(key, hay.alias("_hay")).join(candidates, key)
+    return both.select(key, F.explode(F.filter("_terms", lambda x: F.contains(F.col("_hay"), x["_needle"]))).alias("_x")).select(key, F.col(f"_x.{term}").alias(term)).distinct()
 
 
 def near_pairs(a: DataFrame, b: DataFrame, value: str, limit: int = 2) -> DataFrame:

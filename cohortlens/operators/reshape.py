@@ -90,3 +90,14 @@ def replace_terms(c: Column, mapping: Mapping[str, str], sep: str = ", ") -> Col
         return c
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.array_join(F.transform(F.split(c, sep, -1), lambda x: F.coalesce(F.try_element_at(table, x), x)), sep)
+
+
+def subsets(df: DataFrame, group: str, key: str, parts: str) -> DataFrame:
+    """(a, b): keys of a group whose set of parts is a proper subset of another's.
+
+    The greater sets are looked up by the smallest part of the lesser, so only sets that share a part meet.
+    """
+    own = df.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.array_sort(F.array_distinct(parts)).alias("_s"))
+    a = own.where(F.size("_s") > 0).select("_g", F.col("_k").alias("a"), F.col("_s").alias("_a"), F.col("_s")[0].alias("_p"))
+    b = own.select("_g", F.col("_k").alias("b"), F.col("_s").alias("_b"), F.explode("_s").alias("_p"))
+    return a.join(b, ["_g", "_p"]).where((F.size("_a") < F.size("_b")) & (F.size(F.array_except("_a", "_b")) == 0)).select("a", "b")

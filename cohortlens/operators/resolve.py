@@ -15,7 +15,11 @@ from .components import connected_components
 def scratch(df: DataFrame):
     """A ``keep`` for iterative operators: Parquet in the cluster's ``spark.checkpoint.dir``, or a local folder where it is unset."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
     own = f"{root.rstrip('/')}/resolve-{uuid.uuid4().hex[:12]}"
 
     def keep(table: DataFrame, name: str) -> DataFrame:

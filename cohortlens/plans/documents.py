@@ -153,16 +153,44 @@ def consume(c: Column, patterns: Sequence[tuple[str, str]], none: str = "NR") ->
     return F.when(c.isNotNull(), F.when(F.size(state["found"]) > 0, F.array_join(state["found"], "; ")).otherwise(F.lit(none)))
 
 
+# What is counted in a text, and whether finding it fails the text.
+CHECKS = [
+    ("empty_brackets", r"\[\s*\]", "issue"),
+    ("empty_parens", r"\(\s*\)", "issue"),
+    ("et_al", r"\([A-Z][a-zA-Z\s&,;.]+et al[,;\s.]*\)", "issue"),
+    ("number_brackets", r"\[\s*\d+\s*(?:,\s*\d+\s*)*\]", "warning"),
+    ("space_period", r" \.", "issue"),
+    ("space_comma", r" ,", "issue"),
+    ("space_semicolon", r" ;", "issue"),
+    ("double_space", r"  +", "warning"),
+    ("space_in_parens", r"\(\s+|\s+\)", "issue"),
+    ("double_period", r"\.\.+", "issue"),
+    ("double_comma", r",,+", "issue"),
+    ("dash_comma", r"[–—\-]\s*,", "issue"),
+    ("usepackage", r"\\usepackage", "issue"),
+    ("documentclass", r"\\documentclass", "issue"),
+    ("begin_document", r"\\begin\{document\}", "issue"),
+    ("section_numbers", r"(?:^|\. )(\d+\.)+\d*\s+[A-Z]", "warning"),
+]
+# Families of accessions.
+ACCESSIONS = [
+    ("dbgap", r"\bphs\d+(?:\.v\d+)?(?:\.p\d+)?"),
+    ("ega", r"\bEGA[CDFS]\d+"),
+    ("jgas", r"\bJGAS\d+|JGAD\d+"),
+    ("prj", r"\bPRJEB\d+|PRJNA\d+"),
+    ("nct", r"\bNCT\d{8}"),
+]
+
+
 def text_checks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Counters of a text's quality, and whether it passes."""
-    c = F.col(text)
-    own = df.select(
-        key,
-        F.length(c).cast("long").alias("n_chars_found"),
-        F.regexp_count(c, F.lit(r"\[[0-9]+\]")).cast("long").alias("n_citations"),
-        F.regexp_count(c, F.lit(r"<[a-zA-Z/][^>]*>")).cast("long").alias("n_tags"),
-        F.regexp_count(c, F.lit(r"https?://")).cast("long").alias("n_urls"),
-        F.regexp_count(c, F.lit(r"  +")).cast("long").alias("n_gaps"),
-        F.regexp_count(c, F.lit(r"[.!?]")).cast("long").alias("n_ends"),
-    )
-    return own.withColumn("passes", (F.col("n_chars_found") >= 50) & (F.col("n_tags") == 0) & (F.col("n_citations") == 0) & (F.col("n_ends") > 0))
+    """Counters of a text's flaws, how many sorts are issues and how many warnings (double spaces: over 50), and whether it passes: no issue."""
+    own = df.select(key, *[F.regexp_count(text, F.lit(pattern)).cast("long").alias(name) for name, pattern, _ in CHECKS])
+    many = lambda kind: sum((F.col(n) > (50 if n == "double_space" else 0)).cast("int") for n, _, k in CHECKS if k == kind)
+    return own.withColumns({"n_issues": many("issue"), "n_warnings": many("warning")}).withColumn("passes", F.col("n_issues") == 0)
+
+
+def accessions(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, family, accession): every mention of each family."""
+    found = F.array(*[F.struct(F.lit(name).alias("family"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all")) for name, pattern in ACCESSIONS])
+    own = df.select(*keys, F.explode(found).alias("x")).select(*keys, "x.family", F.explode("x.all").alias("accession"))
+    return own

@@ -51,3 +51,20 @@ def unattributed(daly: Column, fraction: Column) -> Column:
 def combined_fraction(c: Column) -> Column:
     """Aggregate: one minus the product of the complements."""
     return 1 - F.product(1 - c)
+
+
+def provided_codes(df: DataFrame, trait: str) -> DataFrame:
+    """``df`` with code and origin: a code that the trait's own text states, by the first of four ways of writing that gives one.
+
+    The origin is set for every text of such a form, even where no code comes out.
+    """
+    c = F.col(trait)
+    forms = [
+        (c.contains("ICD10"), r"ICD10 ([^:]+(?=:)|[^ ]+)"),
+        (c.contains("Source of report of"), r"Source of report of\s([A-Z][0-9]{1,2}(?:\.[0-9A-Z]+)?)\b"),
+        (c.contains("Union"), r"Union ([A-Z][0-9]{1,2}(?:\.[0-9A-Z]+)?)\b"),
+        (c.rlike("ICD(-10)? [A-Z][0-9]"), r"ICD(?:-10|10)?\s*([A-Z][0-9]{1,2}(?:\.[0-9A-Z]+)?)"),
+    ]
+    codes = [F.when(hit, F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))) for hit, pattern in forms]
+    said = forms[0][0] | forms[1][0] | forms[2][0] | forms[3][0]
+    return df.withColumns({"code": F.coalesce(*codes), "origin": F.when(said, "Study Provided")})

@@ -151,11 +151,13 @@ def _(t):
     return reshape.separate_longer(cells(t), "cell", ", ").select("k", F.col("cell").alias("term")).where("term <> ''").distinct()
 
 
-@query("D2_provided_code", "SELECT conv_id, turn, CASE WHEN contains(text, ' the ') THEN 'direct' WHEN contains(text, ' le ') THEN 'report' END AS origin, coalesce(nullif(regexp_extract(text, ' the ([a-z]+)', 1), ''), nullif(regexp_extract(text, ' le ([a-z]+)', 1), '')) AS code FROM conversations")
+# Codes in the four ways in which studies write them, from the numbers of each part.
+STATED = "CASE p_partkey % 6 WHEN 0 THEN 'ICD10 K' || p_size || ': ' || p_name WHEN 1 THEN 'Source of report of K7' || p_size % 10 || ' (' || p_name || ')' WHEN 2 THEN p_name || ' (Union E1' || p_size % 10 || ')' WHEN 3 THEN p_name || ' ICD-10 J' || (10 + p_size) || '.1' WHEN 4 THEN 'Union of ' || p_name ELSE p_name END"
+
+
+@query("D2_provided_code", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'K' || p_size WHEN 1 THEN 'K7' || p_size % 10 WHEN 2 THEN 'E1' || p_size % 10 WHEN 3 THEN 'J' || (10 + p_size) || '.1' END AS code, CASE WHEN p_partkey % 6 < 5 THEN 'Study Provided' END AS origin FROM part")
 def _(t):
-    c = F.col("text")
-    code = F.coalesce(F.nullif(text.extract(c, " the ([a-z]+)", 1), F.lit("")), F.nullif(text.extract(c, " le ([a-z]+)", 1), F.lit("")))
-    return t.conversations.select("conv_id", "turn", F.when(F.contains(c, F.lit(" the ")), "direct").when(F.contains(c, F.lit(" le ")), "report").alias("origin"), code.alias("code"))
+    return rep.provided_codes(t.part.select("p_partkey", F.expr(STATED).alias("trait")), "trait").select("p_partkey", "code", "origin")
 
 
 @query("D3_group_codes", "SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS codes FROM part WHERE p_size < 12 GROUP BY 1")
@@ -246,9 +248,9 @@ def _(t):
     return t.part.join(known, "p_name", "left_anti").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("E7_cocitation", "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey < 3000) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey < 3000) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
+@query("E7_cocitation", "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
 def _(t):
-    own = t.lineitem.where("l_orderkey < 3000").select("l_orderkey", "l_suppkey").distinct()
+    own = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
     pairs = own.withColumnRenamed("l_suppkey", "a").join(own.withColumnRenamed("l_suppkey", "b"), "l_orderkey").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
@@ -259,7 +261,7 @@ def _(t):
     return t.pages.select("page_id", F.when(c.rlike("<article[ >]"), "article").when(c.rlike("<TEI[ >]"), "tei").when(c.rlike("<collection[ >]"), "bioc").otherwise("unknown").alias("format"))
 
 
-@query("T2_clean_text")
+@query("T2_clean_text", f"SELECT doc_id, {text.rules_sql('nfc_normalize(text)', text.CLEAN_RULES, trim=True)} AS text FROM documents")
 def _(t):
     return t.documents.select("doc_id", text.clean(F.col("text")).alias("text"))
 
@@ -269,7 +271,7 @@ def _(t):
     return docs.html_sections(t.pages, "page_id", "html")
 
 
-@query("T6_strip_latex")
+@query("T6_strip_latex", f"SELECT doc_id, {text.rules_sql('text', text.LATEX_RULES, trim=True)} AS text FROM documents")
 def _(t):
     return t.documents.select("doc_id", text.strip_latex(F.col("text")).alias("text"))
 
@@ -279,10 +281,9 @@ def _(t):
     return t.documents.select("doc_id", F.posexplode(docs.chunks(F.col("text"))).alias("pos", "chunk"))
 
 
-@query("T8_sentences", "SELECT conv_id, turn, CAST(len(list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x) <> '')) AS INTEGER) AS n FROM conversations WHERE NOT regexp_matches(text, '[.!?][^ \\n.!?]') AND NOT regexp_matches(text, '(e\\.g|i\\.e|al|Fig|vs)\\.')")
+@query("T8_sentences")
 def _(t):
-    own = t.conversations.where(~F.col("text").rlike(r"[.!?][^ \n.!?]") & ~F.col("text").rlike(r"(e\.g|i\.e|al|Fig|vs)\."))
-    return own.select("conv_id", "turn", F.size(text.sentences(F.col("text"))).alias("n"))
+    return t.conversations.select("conv_id", "turn", F.size(text.sentences(F.col("text"))).alias("n"))
 
 
 @query("T9_repaired_sentences")
@@ -290,7 +291,12 @@ def _(t):
     return t.conversations.select("conv_id", "turn", F.posexplode(docs.repaired(text.sentences(F.col("text")))).alias("pos", "sentence"))
 
 
-@query("T11_text_checks", "SELECT *, n_chars_found >= 50 AND n_tags = 0 AND n_citations = 0 AND n_ends > 0 AS passes FROM (SELECT doc_id, length(text) AS n_chars_found, len(regexp_extract_all(text, '\\[[0-9]+\\]')) AS n_citations, len(regexp_extract_all(text, '<[a-zA-Z/][^>]*>')) AS n_tags, len(regexp_extract_all(text, 'https?://')) AS n_urls, len(regexp_extract_all(text, '  +')) AS n_gaps, len(regexp_extract_all(text, '[.!?]')) AS n_ends FROM documents)")
+CHECKS = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p, _ in docs.CHECKS)
+ISSUES = " + ".join(f"CAST({n} > 0 AS INTEGER)" for n, _, kind in docs.CHECKS if kind == "issue")
+WARNINGS = " + ".join(f"CAST({n} > {50 if n == 'double_space' else 0} AS INTEGER)" for n, _, kind in docs.CHECKS if kind == "warning")
+
+
+@query("T11_text_checks", f"SELECT *, n_issues = 0 AS passes FROM (SELECT *, {ISSUES} AS n_issues, {WARNINGS} AS n_warnings FROM (SELECT doc_id, {CHECKS} FROM documents))")
 def _(t):
     return docs.text_checks(t.documents, "doc_id", "text")
 
@@ -309,15 +315,24 @@ def _(t):
     return own.select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("surface"))
 
 
-@query("T19_accessions", "SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+[.][0-9]{2}@mail[0-9]')) AS accession FROM documents")
+ACCESSIONS = " UNION ALL ".join(f"SELECT conv_id, turn, '{n}' AS family, unnest(regexp_extract_all(said, '{p}')) AS accession FROM s" for n, p in docs.ACCESSIONS)
+# The turns have no accessions of their own: each is given some, written from its numbers.
+SAID = "text || ' See phs' || lpad(CAST(conv_id AS VARCHAR), 6, '0') || '.v2.p1, EGAS' || turn || ' and xNCT12345678, NCT' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || ', PRJEB' || turn || ' JGAD7'"
+
+
+@query("T19_accessions", f"WITH s AS (SELECT conv_id, turn, {SAID} AS said FROM conversations) {ACCESSIONS}")
 def _(t):
-    return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+[.][0-9]{2}@mail[0-9]"), F.lit(0))).alias("accession"))
+    key = F.col("conv_id").cast("string")
+    said = F.concat("text", F.lit(" See phs"), F.lpad(key, 6, "0"), F.lit(".v2.p1, EGAS"), "turn", F.lit(" and xNCT12345678, NCT"), F.lpad(key, 8, "0"), F.lit(", PRJEB"), "turn", F.lit(" JGAD7"))
+    return docs.accessions(t.conversations.withColumn("said", said), ["conv_id", "turn"], "said")
 
 
-@query("T20_mention_stats", "SELECT lang, count(*) FILTER (n > 0) AS docs, CAST(sum(n) AS BIGINT) AS mentions FROM (SELECT lang, len(regexp_extract_all(text, '[Ll]icen')) AS n FROM documents) GROUP BY 1")
+@query("T20_mention_stats", "SELECT term, count(*) AS docs, CAST(sum(n) AS BIGINT) AS mentions FROM (SELECT doc_id, term, len(regexp_extract_all(lower(text), pattern)) AS n FROM documents, (VALUES ('licence', 'licen[sc]e'), ('of the', 'of the'), ('token', 'token')) v(term, pattern)) WHERE n > 0 GROUP BY 1")
 def _(t):
-    own = t.documents.withColumn("n", F.regexp_count("text", F.lit("[Ll]icen")))
-    return own.groupBy("lang").agg(F.count_if(F.col("n") > 0).alias("docs"), F.sum("n").alias("mentions"))
+    terms = [("licence", "licen[sc]e"), ("of the", "of the"), ("token", "token")]
+    found = F.array(*[F.struct(F.lit(n).alias("term"), F.regexp_count(F.lower("text"), F.lit(p)).alias("n")) for n, p in terms])
+    own = t.documents.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*").where("n > 0")
+    return own.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("mentions"))
 
 
 @query("T21_consume", "SELECT p_partkey, CASE WHEN contains(p_name, 'red ring') THEN 'set' ELSE coalesce(nullif(concat_ws('; ', CASE WHEN contains(p_name, 'red') THEN 'colour' END, CASE WHEN contains(p_name, 'ring') THEN 'thing' END), ''), 'NR') END AS found FROM part")

@@ -70,9 +70,9 @@ def _(t):
     return t.documents.where(F.col("text").rlike("(?i)licen[sc]e") | F.contains("text", F.lit("@"))).select("doc_id")
 
 
-@query("P12_lookbehind", "SELECT doc_id FROM documents WHERE len(list_filter(range(1, CAST(length(text) AS BIGINT)), lambda i: substr(text, i, 4) = ' the' AND (i < 4 OR substr(text, i - 3, 3) <> 'and'))) > 0 AND length(text) < 2000")
+@query("P12_lookbehind", "SELECT doc_id FROM documents WHERE len(list_filter(range(1, CAST(length(text) AS BIGINT)), lambda i: substr(text, i, 4) = ' the' AND (i < 4 OR substr(text, i - 3, 3) <> 'and'))) > 0")
 def _(t):
-    return t.documents.where(F.col("text").rlike(r"(?s)(?<!and) the.") & (F.length("text") < 2000)).select("doc_id")
+    return t.documents.where(F.col("text").rlike(r"(?<!and) the")).select("doc_id")
 
 
 @query("P13_between", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 11")
@@ -136,10 +136,10 @@ def _(t):
     return a.join(b, "k", "full")
 
 
-@query("J5_join_contract", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 100")
+@query("J5_join_contract", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(t):
     one = patch.assert_unique(t.nation, ["n_nationkey"])
-    return t.customer.where("c_custkey < 100").join(one, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    return t.customer.join(one, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
 BANDS = "(VALUES ('B1', 0.0, 950.0, 'low'), ('B1', 900.0, 1300.0, 'mid'), ('B2', 1000.0, 1500.0, 'mid'), ('B4', 0.0, 5000.0, 'all')) v(letter, lo, hi, band)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,14 @@ def softmax(a: Column) -> Column:
 def argmax(a: Column) -> Column:
     """Place of the first largest, from 0."""
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+
+
+def explained_variance(df: DataFrame, vector: str, k: int) -> DataFrame:
+    """component (from 1), share: the part of the variance of centred and scaled components that each of the first k principal components explains."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    own = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    scaled = StandardScaler(withMean=True, withStd=True, inputCol="v", outputCol="s").fit(own).transform(own)
+    found = PCA(k=k, inputCol="s", outputCol="p").fit(scaled).explainedVariance.toArray()
+    return df.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(found)], "component int, share double")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
 
 
-def scratch(df: DataFrame):
-    """A ``keep`` for iterative operators: Parquet in the cluster's ``spark.checkpoint.dir``, or a local folder where it is unset."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's ``spark.checkpoint.dir``; a local session without one gets a local folder. It goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -22,6 +22,22 @@ def scratch(df: DataFrame):
         root = f"file://{tempfile.gettempdir()}/checkpoints"
     own = f"{root.rstrip('/')}/resolve-{uuid.uuid4().hex[:12]}"
 
+    def remove() -> None:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(own)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has gone; the folder's owner cleans it
+            return
+
+    atexit.register(remove)
+    return own
+
+
+def scratch(df: DataFrame):
+    """A ``keep`` for iterative operators: Parquet in a scratch folder."""
+    spark = df.sparkSession
+    own = scratch_folder(spark)
+
     def keep(table: DataFrame, name: str) -> DataFrame:
         table.write.mode("overwrite").parquet(f"{own}/{name}")
         return spark.read.schema(table.schema).parquet(f"{own}/{name}")

@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import locate_all
+from ..operators.joins import contains_terms
+
 _HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 _SKIPPED = {"script", "style", "nav", "aside", "footer", "noscript"}
 _BLOCKS = {"p", "div", "li", "td", "th", "tr", "section", "article", "br", "table", "ul", "ol"}
@@ -194,3 +197,77 @@ def accessions(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     found = F.array(*[F.struct(F.lit(name).alias("family"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all")) for name, pattern in ACCESSIONS])
     own = df.select(*keys, F.explode(found).alias("x")).select(*keys, "x.family", F.explode("x.all").alias("accession"))
     return own
+
+
+# Headings that begin and end the methods, and what methods speak of.
+METHOD_HEADING = r"(?i)\b(methods?|materials|methodology|procedures?|participants|subjects)\b"
+STOP_HEADING = r"(?i)\b(results?|discussion|conclusions?|references|acknowledge?ments?|funding|competing interests|author contributions)\b"
+METHOD_WORDS = r"(?i)\b(recruited|participants|genotyp(ed|ing)|cohort|informed consent|enrolled)\b"
+AUTHOR_LIST = r"^[A-Z][\w.-]+ [A-Z][\w.-]+(, [A-Z][\w.-]+ [A-Z][\w.-]+){4,}$"
+
+
+def method_sections(sections: DataFrame, key: str) -> DataFrame:
+    """Rows (key, pos, title, text, ..) that hold a document's methods, with ``priority``.
+
+    1: from a heading of methods up to the next heading of another part. 2, for documents without such a
+    heading: sections that speak of methods. 3, for those without either: the body but for other parts.
+    Lists of authors are no text.
+    """
+    title = F.coalesce("title", F.lit(""))
+    own = sections.where(~F.coalesce(F.col("text").rlike(AUTHOR_LIST), F.lit(False)))
+    start, stop = title.rlike(METHOD_HEADING), title.rlike(STOP_HEADING) & ~title.rlike(METHOD_HEADING)
+    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(key)
+    own = own.withColumns({"_started": F.max(F.when(start, F.col("pos"))).over(so_far), "_stopped": F.max(F.when(stop, F.col("pos"))).over(so_far)})
+    own = own.withColumn("_speaks", ~stop & F.coalesce(F.col("text").rlike(METHOD_WORDS), F.lit(False))).withColumn("_other", stop)
+    own = own.withColumns({"_headed": F.max(F.col("_started").isNotNull()).over(whole), "_spoken": F.max("_speaks").over(whole)})
+    own = own.withColumn("priority", F.when(F.col("_headed"), 1).when(F.col("_spoken"), 2).otherwise(3))
+    inside = F.col("_started").isNotNull() & (F.col("_stopped").isNull() | (F.col("_started") > F.col("_stopped")))
+    keep = F.when(F.col("_headed"), inside).when(F.col("_spoken"), F.col("_speaks")).otherwise(~F.col("_other"))
+    return own.where(keep).drop("_started", "_stopped", "_speaks", "_other", "_headed", "_spoken")
+
+
+def splitter_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """side, keys, pos, sentence, before, after: sentences that only one of two splitters gives, with their neighbours."""
+    order = Window.partitionBy(*keys).orderBy("pos")
+
+    def only(one, other, side):
+        sided = one.withColumns({"before": F.lag("sentence").over(order), "after": F.lead("sentence").over(order)})
+        return sided.join(other.select(*keys, "sentence").distinct(), [*keys, "sentence"], "left_anti").select(F.lit(side).alias("side"), *keys, "pos", "sentence", "before", "after")
+
+    return only(a, b, "a").unionByName(only(b, a, "b"))
+
+
+def dictionary_match(texts: DataFrame, names: DataFrame, abbreviations: DataFrame, key: str, text: str) -> DataFrame:
+    """key, terms: full names in any case and abbreviations in theirs, unique, sorted and joined by ``|``."""
+    found = contains_terms(texts, names, key, text).unionAll(contains_terms(texts, abbreviations, key, text, ignore_case=False))
+    return found.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms"))
+
+
+MASK = "\u241f"
+
+
+def mask(c: Column, terms: Sequence[str]) -> Column:
+    """Every term, the longest first and in any case, as one mark that no other term matches."""
+    longest = sorted(terms, key=lambda x: (-len(x), x))
+    return F.regexp_replace(c, "(?i)(" + "|".join(re.escape(x) for x in longest) + ")", MASK)
+
+
+# How numbers of people are written.
+PEOPLE = ["participants", "individuals", "adolescents", "neonates", "patients", "children", "subjects", "controls", "families", "siblings", "infants", "proband", "samples", "adults", "female", "donors", "cases", "women", "trios", "twins", "pairs", "male", "men"]
+SIZES = ["n_total", "Neffective", "Ncontrol", "Ncase", "ncase", "Neff", "N", "n"]
+NUMERIC = rf"\b(?:{'|'.join(SIZES)})\s*=\s*[0-9][0-9,]*|\b[0-9][0-9,]*\s+(?:{'|'.join(PEOPLE)})\b"
+
+
+def numeric_mentions(df: DataFrame, keys: list[str], text: str, least: int = 10) -> DataFrame:
+    """keys, start, end, surface, n: numbers of people in a text, but for those up to ``least``."""
+    own = df.select(*keys, text, F.explode(locate_all(F.col(text), NUMERIC)).alias("x"))
+    surface = F.substring(F.col(text), F.col("x.start") + 1, F.col("x.end") - F.col("x.start"))
+    own = own.select(*keys, F.col("x.start").alias("start"), F.col("x.end").alias("end"), surface.alias("surface"))
+    number = F.replace(F.regexp_extract("surface", "[0-9][0-9,]*", 0), F.lit(","), F.lit("")).try_cast("long")
+    return own.withColumn("n", number).where(F.col("n") > least)
+
+
+def regroup(spans: DataFrame, key: str) -> DataFrame:
+    """key, label: a document's spans (start, end, tag) as one sorted list."""
+    return spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("label"))

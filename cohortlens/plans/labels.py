@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import softmax
+
 
 def bio_align(tokens: DataFrame, spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     """tokens (doc, pos, start, end) and spans (doc, s, e, tag) -> label: B- at a span's first token, I- in it, else O."""
@@ -31,3 +33,9 @@ def set_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     fp, fn = F.size(F.array_except(predicted, truth)), F.size(F.array_except(truth, predicted))
     out = df.withColumns({"tp": tp, "fp": fp, "fn": fn})
     return out.withColumns({"precision": F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))), "recall": F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn")))})
+
+
+def confidence(tokens: DataFrame, doc: str, gold: str, logits: str) -> DataFrame:
+    """doc, confidence: the mean of the largest softmax over tokens of gold entities; 1 where a document has none."""
+    top = F.array_max(softmax(F.col(logits)))
+    return tokens.groupBy(doc).agg(F.coalesce(F.avg(F.when(F.col(gold), top)), F.lit(1.0)).alias("confidence"))

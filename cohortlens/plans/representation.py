@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import collapse_degenerate, expand_range
 from ..functions.semantics import median, quantile
 from ..operators.windows import add_final_totals, running_total
 
@@ -68,3 +69,17 @@ def provided_codes(df: DataFrame, trait: str) -> DataFrame:
     codes = [F.when(hit, F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))) for hit, pattern in forms]
     said = forms[0][0] | forms[1][0] | forms[2][0] | forms[3][0]
     return df.withColumns({"code": F.coalesce(*codes), "origin": F.when(said, "Study Provided")})
+
+
+def descriptor_match(df: DataFrame, key: str, derived: str, declared: str, n: str) -> DataFrame:
+    """key, matched, total, agrees: numbers of rows whose derived category is the declared one, against all."""
+    out = df.groupBy(key).agg(F.sum(F.when(F.col(derived) == F.col(declared), F.col(n))).alias("matched"), F.sum(n).alias("total"))
+    return out.withColumn("agrees", F.coalesce(F.col("matched") == F.col("total"), F.lit(False)))
+
+
+def normalise_codes(df: DataFrame, code: str, rewrites: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """A row for each code of a cell: ranges expanded, (old, new) rewrites applied, with the description of (code, description) if there is one."""
+    parts = F.flatten(F.transform(F.split(code, ", "), lambda x: expand_range(collapse_degenerate(x))))
+    own = df.withColumn(code, F.explode(parts)).join(rewrites.select(F.col("old").alias(code), "new"), code, "left")
+    own = own.withColumn(code, F.coalesce("new", code)).drop("new")
+    return own.join(descriptions.select(F.col("code").alias(code), "description"), code, "left").select(*df.columns, "description")

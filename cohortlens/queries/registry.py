@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ["relational", "aggregates", "nested", "domain"]
+MODULES = ["relational", "aggregates", "nested", "domain", "files", "mentions"]
 
 
 class Tables:

@@ -106,15 +106,20 @@ def xml_sections(raw: str) -> list[dict]:
     return out
 
 
-def scan_xml_sections(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, level, title, text) of XML articles; files that aren't XML give no rows."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("raw"))
+def xml_section_rows(df: DataFrame, xml: str, *keys: str) -> DataFrame:
+    """(keys, pos, level, title, text) of a column of XML articles; what isn't XML gives no rows."""
 
     def run(column: pd.Series) -> pd.Series:
-        return column.map(xml_sections)
+        return column.map(lambda raw: xml_sections(raw or ""))
 
     parse = F.pandas_udf(run, "array<struct<pos:int,level:int,title:string,text:string>>")
-    return files.select("path", F.explode(parse("raw")).alias("s")).select("path", "s.*")
+    return df.select(*keys, F.explode(parse(xml)).alias("s")).select(*keys, "s.*")
+
+
+def scan_xml_sections(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, level, title, text) of XML articles; files that aren't XML give no rows."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("raw"))
+    return xml_section_rows(files, "raw", "path")
 
 
 def scan_html_sections(spark: SparkSession, path: str) -> DataFrame:
@@ -167,3 +172,20 @@ def sink_text(df: DataFrame, path: str, key: str, text: str) -> None:
     """A folder for each key."""
     df.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
+
+
+def sink_article_xml(sections: DataFrame, path: str, key: str) -> None:
+    """(key, pos, level, title, text) as articles, a line each: nested ``sec`` elements of a ``body``, in order of pos."""
+
+    def escape(c):
+        return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    before = F.lag("level", 1, 0).over(Window.partitionBy(key).orderBy("pos"))
+    # A section at a level closes those at its own and deeper ones that are open.
+    closed = F.repeat(F.lit("</sec>"), F.greatest(F.lit(0), before - F.col("level") + 1).cast("int"))
+    text = F.concat(closed, F.lit("<sec><title>"), escape(F.col("title")), F.lit("</title><p>"), escape(F.regexp_replace("text", r"\s+", " ")), F.lit("</p>"))
+    lines = sections.select(key, "pos", "level", text.alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "")
+    end = F.repeat(F.lit("</sec>"), F.max_by("level", "pos").cast("int"))
+    out = lines.groupBy(key).agg(F.concat(F.lit("<article><body>"), whole, end, F.lit("</body></article>")).alias("value"))
+    out.select("value").write.mode("overwrite").text(path)

@@ -551,3 +551,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
 def op3_jaccard_join(spark, sf_dir):
     """Contract query: components of links at a similarity of 0.75 on 5-word shingles."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+c AS (SELECT doc_id AS r, doc_id AS g FROM w UNION SELECT l.b, c.g FROM c JOIN l ON c.r = l.a)
+SELECT r AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(g) AS component_id FROM c LEFT JOIN n ON r = n.doc_id GROUP BY 1
+"""

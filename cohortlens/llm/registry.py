@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_content_sort": content_sort_dedup.ORACLE}
+    return {"op1_tool_calls": tool_calls.ORACLE, "op2_content_sort": content_sort_dedup.ORACLE, "op3_jaccard_join": jaccard_join.ORACLE}

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 import zlib
@@ -31,6 +32,24 @@ def test_rendezvous(spark):
     assert rs.shard(spark.createDataFrame([], SCHEMA), [1.0]).collect() == []
 
 
+def test_rendezvous_against_brute_force(spark):
+    import hashlib
+
+    def unit(key, s):
+        return (int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    def best(key, weights):
+        return max(range(len(weights)), key=lambda s: (-weights[s] / np.log(unit(key, s)), -s))
+
+    rows = [(k, "x" * (k % 7), "clash") for k in range(500)] + [(None, None, None), (4, "x" * 300_000, "long")]
+    for weights in ([1.0] * 8, [0.5, 2.0, 1.0]):
+        got = rs.shard(spark.createDataFrame(rows, "doc_id long, text string, shard string"), weights).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            name = "null" if r.doc_id is None else str(r.doc_id)
+            assert (r.shard, r.grown_shard) == (best(name, weights), best(name, [*weights, weights[-1]]))
+
+
 def test_packing_plan():
     rng = np.random.default_rng(3)
     histogram = Counter(int(x) for x in np.minimum(256, rng.lognormal(4, 1, 60_000) + 1))
@@ -345,6 +364,45 @@ def test_tool_calls(spark):
     assert messages[2, 0].message == '{"content":null,"role":null}' and messages[2, 1].malformed == 1
 
 
+def test_tool_calls_odd_input(spark):
+    deep = '<tool_call>{"id":"d","name":"f","arguments":' + "[" * 1500 + "]" * 1500 + "}</tool_call>"
+    schemas = [{"pattern": "("}, {"minimum": "a"}, {"enum": 5}, {"required": [["x"]]}, {"properties": [1]}, {"multipleOf": 0}]
+    system = "<tools>" + json.dumps([{"name": f"s{k}", "parameters": v} for k, v in enumerate(schemas)] + [{"name": "f"}]) + "</tools>"
+    values = ["abc", 3, 3, {"a": 1}, {"a": 1}, 3]
+    calls = "".join(f'<tool_call>{json.dumps({"id": f"k{k}", "name": f"s{k}", "arguments": v})}</tool_call>' for k, v in enumerate(values))
+    rows = [
+        (1, 0, "system", system, "m"),
+        (1, 1, "assistant", deep, "m"),
+        (1, 2, "assistant", r'<tool_call>{"id":"u","name":"f","arguments":{"x":"\ud800"}}</tool_call>', None),
+        (1, 3, "assistant", calls, None),
+        (1, 5, "assistant", '<tool_call>{"id":"a","name":"f","arguments":{}}</tool_call>', "A"),
+        (1, 5, "assistant", '<tool_call>{"id":"b","name":"f","arguments":{}}</tool_call>', "B"),
+        (1, 6, "assistant", '<tool_call>{"id":"b","name":"f","arguments":{}}</tool_call>', "again"),
+        (None, None, "assistant", '<tool_call>{"id":"n","name":"f","arguments":{}}</tool_call>', None),
+        (2, 0, "user", "long " * 100_000, None),
+    ]
+    schema = "conv_id long, turn long, role string, text string, message string"
+    out = tc.link(spark.createDataFrame(rows + rows[4:5], schema))
+    messages = out["messages"].collect()
+    assert len(messages) == len(rows)
+    own = {(r.conv_id, r.turn, r.message): r for r in messages}
+    at5 = sorted(m for c, t, m in own if (c, t) == (1, 5))
+    assert len(at5) == 2 and '"id":"a"' in at5[0] and '"id":"b"' not in at5[0]
+    by = {(r.conv_id, r.turn): r for r in messages}
+    assert by[1, 1].malformed == 1 and by[1, 1].n_calls == 0
+    assert "\\ud800" in by[1, 2].message
+    found = {r.id: r for r in out["calls"].where("not duplicate").collect()}
+    assert all(found[f"k{k}"].errors == "bad_schema" and not found[f"k{k}"].valid for k in range(6))
+    assert out["calls"].where("id = 'b' and duplicate").count() == 1
+    empty = tc.link(spark.createDataFrame([], schema))
+    assert all(df.collect() == [] for df in empty.values())
+
+
+@pytest.mark.parametrize("value,schema,good", [(4, {"anyOf": [{"type": "string"}, {"multipleOf": 2}]}, True), (5, {"multipleOf": 2}, False), ({"a": {"a": {}}}, {"$ref": "#/$defs/t", "$defs": {"t": {"properties": {"a": {"$ref": "#/$defs/t"}}, "additionalProperties": False}}}, True), ({"a": {"b": 1}}, {"$ref": "#/$defs/t", "$defs": {"t": {"properties": {"a": {"$ref": "#/$defs/t"}}, "additionalProperties": False}}}, False), (1, {"not": {"type": "integer"}}, False), (1, {"oneOf": [{"type": "integer"}, {"type": "number"}]}, False), (1.0, {"enum": [1]}, True), (True, {"enum": [1]}, False)])
+def test_validate_combined(value, schema, good):
+    assert (not tc.validate(value, schema)) == good
+
+
 def test_tool_calls_long_chains(spark):
     call = lambda ident, *refs: (1, int(ident[1:]), "assistant", f'<tool_call>{{"id":"{ident}","name":"f","arguments":{{"x":[' + ",".join(f'{{"$ref":"{r}"}}' for r in refs) + "]}}</tool_call>")
     n = 1300

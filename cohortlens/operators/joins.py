@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +84,29 @@ def concept_codes(terms: DataFrame, concepts: DataFrame, term: str = "term", con
     codes = concepts.where(F.col(code).isNotNull()).select(concept, code).distinct()
     hop = terms.select(term).distinct().join(names, F.lower(F.trim(term)) == F.col("_n")).join(codes, concept)
     return hop.groupBy(term).agg(F.array_join(F.array_sort(F.collect_set(code)), ", ").alias("codes"))
+
+
+def best_cosine(a: DataFrame, b: DataFrame, key: str, vector: str, block: int = 4096) -> DataFrame:
+    """b, sim: for each vector of ``b`` its greatest cosine to one of ``a`` with another key.
+
+    Every pair counts, so the work is a product of both sides; it is done as matrix products of blocks, each
+    side dealt to as many tasks as the other has blocks, and a task gives one row a vector.
+    """
+    width = lambda df: max(1, -(-df.count() // block))
+    n_a, n_b = width(a), width(b)
+    spread = lambda df, own, other, n, m: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = np.zeros(0)
+        ids = right["id"].to_numpy()
+        if left.num_rows and right.num_rows:
+            x, y = (np.stack(t["v"].to_numpy(zero_copy_only=False)) for t in (left, right))
+            x, y = (m / np.sqrt((m * m).sum(1))[:, None] for m in (x, y))
+            own = np.where(ids[:, None] == left["id"].to_numpy()[None, :], -np.inf, y @ x.T)
+            out = own.max(1)
+        found = np.isfinite(out) if len(out) else np.zeros(len(ids), bool)
+        return pa.table({"b": pa.array(ids[found], pa.int64()), "sim": pa.array(out[found] if len(out) else np.zeros(0), pa.float64())})
+
+    left, right = spread(a, "i", "j", n_a, n_b), spread(b, "j", "i", n_b, n_a)
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "b long, sim double")
+    return pairs.groupBy("b").agg(F.max("sim").alias("sim"))

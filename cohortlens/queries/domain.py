@@ -350,11 +350,9 @@ BEST = "SELECT b.vec_id AS b, max(round(list_cosine_similarity(CAST(a.embedding
 
 
 def best_match(t):
-    """Best cosine of each vector of one label to those of another: queries in a block against a stated set."""
-    a = t.embeddings.where("label = 0").select(F.col("vec_id").alias("a"), vectors.normalise(F.col("embedding")).alias("va"))
-    b = t.embeddings.where("label = 1").select(F.col("vec_id").alias("b"), vectors.normalise(F.col("embedding")).alias("vb"))
-    both = b.join(a, F.col("a") != F.col("b"))
-    return both.groupBy("b").agg(F.max(F.round(vectors.dot(F.col("va"), F.col("vb")), 5)).alias("sim"))
+    """Best cosine of each vector of one label to those of another."""
+    own = joins.best_cosine(t.embeddings.where("label = 0"), t.embeddings.where("label = 1"), "vec_id", "embedding")
+    return own.select("b", F.round("sim", 5).alias("sim"))
 
 
 @query("V2_best_match", BEST)

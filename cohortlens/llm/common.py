@@ -27,7 +27,9 @@ class Workspace:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            # A local session, as in tests; clusters set a shared folder.
+            # A local session, as in tests; a cluster must name a folder that its machines share.
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._remove, self.root)

@@ -119,27 +119,76 @@ def chunks(c: Column, limit: int = 400) -> Column:
     return F.pandas_udf(run, "array<string>")(c)
 
 
-def repair_sentences(parts: Sequence[str]) -> list[str]:
-    """Pieces put together again: lone punctuation, a conjunction or lower case at the start, open brackets; citations stripped."""
+# What a piece begins or ends with that goes on.
+CONJUNCTIONS = ("and", "or", "but")
+STARTS = ("<", "×", "=", ">", "≤", "≥", "±", "+", "−", "–", "~", "-", ",", ":", ";")
+ENDS = ("<", "×", "=", ">", "≤", "≥", "±", "+", "−", "–", "~", "-", ",", ":", ";", "vs.", "e.g.", "i.e.")
+_WORD_START = re.compile(rf"\s*(?:{'|'.join(CONJUNCTIONS)})\b")
+_WORD_END = re.compile(rf"\b(?:{'|'.join(CONJUNCTIONS)})\s*$")
+_LONE = re.compile(r"[\s.,)\]}!?\u201d\u201c]+")
+_CITED = r"\d+(?:\s*[,\-–]\s*\d+)*"
+# Patterns that leave a sentence, in order: section numbers, citations at the end, at the start, and within.
+_STRIPPED = [
+    (re.compile(r"^\d+(?:\.\d+)*\.\s*"), ""),
+    (re.compile(r"\[\d+\](\.?)$"), r"\1"),
+    (re.compile(r"(?<!\d)\.\d+(?:[-,]\d+)*\s*$"), "."),
+    (re.compile(r"^\s*\(\d+(?:[,\s]\d+)*\)\s+(?=[A-Z])"), ""),
+    (re.compile(r"^\s*\d+(?:[-,]\d+)*\s+(?=[A-Z])"), ""),
+    (re.compile(rf"\s*\[{_CITED}\]"), ""),
+    (re.compile(rf"(?<=[a-zA-Z.])\s*\({_CITED}\)"), ""),
+    (re.compile(r"  +"), " "),
+]
+
+
+def _open(s: str) -> int:
+    """Brackets that are opened less those that are closed."""
+    return sum((c in "([") - (c in ")]") for c in s)
+
+
+def _short_close(before: str, s: str) -> bool:
+    return len(s) < 50 and s.rstrip(".").endswith((")", "]")) and _open(s) < 0
+
+
+# Passes over the pieces, in order: whether a piece belongs to the one before it.
+_JOINS = [
+    lambda before, s: s.startswith("”") and "“" in before and before.endswith("."),
+    lambda before, s: _LONE.fullmatch(s) is not None,
+    lambda before, s: s.startswith(STARTS),
+    lambda before, s: before.endswith(ENDS),
+    lambda before, s: _WORD_START.match(s) is not None,
+    lambda before, s: _WORD_END.search(before) is not None,
+    _short_close,
+    lambda before, s: _open(before) > 0,
+]
+_LAST_JOINS = [
+    _short_close,
+    lambda before, s: before[-1] in ")]" and s[0].islower(),
+    lambda before, s: s[0] in ")]" and not before.endswith("."),
+]
+
+
+def _join(pieces: list[str], belongs) -> list[str]:
     out: list[str] = []
-    for raw in parts:
-        s = re.sub(r"\s*\[\d+(?:\s*[,-]\s*\d+)*\]\s*(?=[.]?$)", "", raw.strip())
-        if not s:
-            continue
-        joins = bool(out) and (
-            re.fullmatch(r"[^\w]+", s) is not None
-            or re.match(r"(and|or|but)\b", s) is not None
-            or s[0].islower()
-            or out[-1].count("(") > out[-1].count(")")
-            or out[-1].count("[") > out[-1].count("]")
-        )
-        if joins:
-            out[-1] += ("" if re.fullmatch(r"[^\w(\[]+", s) else " ") + s
+    for s in pieces:
+        if out and belongs(out[-1], s):
+            out[-1] += ("" if _LONE.fullmatch(s) else " ") + s
         else:
             out.append(s)
     return out
 
 
+def repair_sentences(parts: Sequence[str]) -> list[str]:
+    """Pieces of a splitter as sentences: what belongs to the piece before is put there, pass by pass, then numbers of sections and citations leave, then what that opened is joined."""
+    own = [s for s in (p.strip() for p in parts) if s]
+    for belongs in _JOINS:
+        own = _join(own, belongs)
+    for pattern, by in _STRIPPED:
+        own = [s for s in (pattern.sub(by, s).strip() for s in own) if s]
+    for belongs in _LAST_JOINS:
+        own = _join(own, belongs)
+    return own
+
+
 def repaired(c: Column) -> Column:
     def run(arrays: pd.Series) -> pd.Series:
         return arrays.map(lambda a: None if a is None else repair_sentences(list(a)))
@@ -271,3 +320,11 @@ def numeric_mentions(df: DataFrame, keys: list[str], text: str, least: int = 10)
 def regroup(spans: DataFrame, key: str) -> DataFrame:
     """key, label: a document's spans (start, end, tag) as one sorted list."""
     return spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("label"))
+
+
+def detect_format(c: Column) -> Column:
+    """jats, tei, bioc or unknown: by the name of the root element, else by what stands inside."""
+    root = F.regexp_extract(c, r"^(?s)\s*(?:<[?!][^>]*>\s*)*<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)", 1)
+    named = F.when(root == "TEI", "tei").when(root == "collection", "bioc").when(root == "article", "jats")
+    inside = F.when(c.contains("http://www.tei-c.org/ns/1.0"), "tei").when(c.rlike(r"<passage[\s>/]"), "bioc").when(c.rlike(r"<(?:[A-Za-z_][\w.-]*:)?sec[\s>/]"), "jats")
+    return F.when(c.isNotNull(), F.coalesce(named, inside, F.lit("unknown")))

@@ -255,10 +255,13 @@ def _(t):
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("T1_detect_format", "SELECT page_id, CASE WHEN regexp_matches(html, '<article[ >]') THEN 'article' WHEN regexp_matches(html, '<TEI[ >]') THEN 'tei' WHEN regexp_matches(html, '<collection[ >]') THEN 'bioc' ELSE 'unknown' END AS format FROM pages")
+# Pages are HTML; each is given one of six shapes of article around it.
+SHAPED = "CASE page_id % 6 WHEN 0 THEN '<?xml version=\"1.0\"?><article><p/></article>' WHEN 1 THEN '<TEI xmlns=\"u\"/>' WHEN 2 THEN '<collection/>' WHEN 3 THEN '<x><t:sec >a</t:sec></x>' WHEN 4 THEN '<doc><passage/></doc>' ELSE html END"
+
+
+@query("T1_detect_format", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'jats' WHEN 1 THEN 'tei' WHEN 2 THEN 'bioc' WHEN 3 THEN 'jats' WHEN 4 THEN 'bioc' ELSE CASE WHEN regexp_matches(html, '^\\s*(<[?!][^>]*>\\s*)*<article[\\s>]') THEN 'jats' ELSE 'unknown' END END AS format FROM pages")
 def _(t):
-    c = F.col("html")
-    return t.pages.select("page_id", F.when(c.rlike("<article[ >]"), "article").when(c.rlike("<TEI[ >]"), "tei").when(c.rlike("<collection[ >]"), "bioc").otherwise("unknown").alias("format"))
+    return t.pages.select("page_id", docs.detect_format(F.expr(SHAPED)).alias("format"))
 
 
 @query("T2_clean_text", f"SELECT doc_id, {text.rules_sql('nfc_normalize(text)', text.CLEAN_RULES, trim=True)} AS text FROM documents")

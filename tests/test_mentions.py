@@ -66,3 +66,17 @@ def test_explained_variance(spark):
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     want = np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1]
     assert np.allclose(got, (want / want.sum())[:3])
+
+
+def test_sentence_repair():
+    join = docs.repair_sentences
+    assert join(["We saw (see Fig.", "2) it", ".", "and more.", "p", "= 0.05 was", "but", "Not all [15, 16-18]."]) == ["We saw (see Fig. 2) it. and more.", "p = 0.05 was but Not all."]
+    assert join(["2.1. Methods here.", "3, 5 Then it ended.12", "He said “yes.", "” Then"]) == ["Methods here.", "3, 5 Then it ended.", "He said “yes. ” Then"]
+    assert join(["A (b)", "c went.", " ", ""]) == ["A (b) c went."]
+    assert join([]) == []
+
+
+def test_detect_format(spark):
+    rows = [("<?xml version='1.0'?>\n<!DOCTYPE a><j:article x='1'>", "jats"), ("<TEI>", "tei"), ("<collection>", "bioc"), ("<a><b xmlns='http://www.tei-c.org/ns/1.0'/></a>", "tei"), ("<a><passage></a>", "bioc"), ("<a><sec>", "jats"), ("<a><section>", "unknown"), ("text", "unknown"), ("", "unknown"), (None, None)]
+    got = spark.createDataFrame(rows, "x string, want string").select("want", docs.detect_format(F.col("x")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]

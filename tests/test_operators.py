@@ -106,6 +106,6 @@ def test_documents():
     parts = documents.parse_sections("<h1>T</h1><p>a<script>x</script> b</p><nav>no</nav><h2>U &amp; V</h2>c")
     assert [(s["level"], s["title"], s["text"]) for s in parts] == [(1, "T", "a b"), (2, "U & V", "c")]
     assert documents.parse_sections(None) == []
-    assert documents.repair_sentences(["One", ".", "and two.", "Open (a", "b) end.", "orange is not a conjunction"]) == ["One. and two.", "Open (a b) end. orange is not a conjunction"]
+    assert documents.repair_sentences(["One", ".", "and two.", "Open (a", "b) end.", "orange is not a conjunction"]) == ["One. and two.", "Open (a b) end.", "orange is not a conjunction"]
     text = " ".join(f"w{k}" for k in range(1000))
     assert [len(c.split()) for c in documents.chunk(text, 400)] == [400, 400, 200]

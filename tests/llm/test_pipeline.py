@@ -1,7 +1,7 @@
 import importlib.util
 
 import corpus_pipeline as cp
-from test_dedup_and_join import brute_components, lower
+from brute_force import brute_components, lower
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,6 +20,41 @@ def test_pipeline_against_brute_force(spark):
     assert max(r.offset + r.length for r in out) <= 2048
 
 
+def test_redacted_texts_are_what_is_packed(spark):
+    """The ids of the pieces are those of the redacted texts of the kept documents."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from test_llm_operators import brute_spans
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [f"write to a{k}@b.example.com or +1 (269) 555-329{k} about item {k} of the list number {k * 7}" for k in range(6)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], schema)
+    out = cp.pack_sequences(spark, cp.redact_personal_data(spark, docs, DATA), DATA).collect()
+    names = ["EMAIL", "IP", "CARD", "PHONE"]
+    for r in out:
+        text = texts[r.doc_id]
+        for start, kind, end in sorted(brute_spans(text), reverse=True):
+            text = text[:start] + f"[{names[kind]}]" + text[end:]
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32
+    assert len(out) == len(texts)
+
+
+def test_rows_without_an_id_stay(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "one text of five words and more", "en", None, 1), (None, "One text of five words and more", "en", None, 1), (None, "another text that nobody else has", "en", None, 1), (2, "one text of five words and more!", "en", "x", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = cp.keep_one_of_equals(spark, docs, DATA)
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, rows[2][1]), (1, rows[0][1]), (2, rows[3][1])]
+    near = cp.keep_one_of_similar(spark, kept, DATA)
+    assert near.columns == docs.columns and {r.doc_id for r in near.collect()} == {None, 1, 2}
+
+
 def test_stages_keep_the_columns(spark):
     assert [k for k, _ in cp.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "pii", "packing"]
     docs = spark.createDataFrame([(1, "call +1 (269) 555-3296 now", "en", "s", 26), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")

@@ -36,7 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -51,6 +51,8 @@ BLOCK = 2048
 CHUNK_SHINGLES, OFTEN, ORDERED = 4_000_000, 8, 1 << 19
 # Stars go on while one links this part of the sets that share a key.
 WORTH = 0.05
+# Middles that a set is compared with in a turn after the first.
+MIDDLES = 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -293,7 +295,8 @@ _LIST = "key long, doc long, n int, place int, middle long, passes boolean"
 def _lists(postings: DataFrame, parts: int, percent: int, turn: int) -> DataFrame:
     """What postings of keys with two or more say, in rows of two sorts.
 
-    Of frequent keys, the posting with a middle: one set of the key of about that size, another each turn.
+    Of frequent keys, the posting with a middle: one set of the key of about that size; after turn 0 not the
+    same in all lists, and another each turn.
     Of rare keys (key null), pairs doc < middle with n, how many rare keys they share (summed in a task), and
     place, how many a linked pair of them shares at least.
     """
@@ -373,7 +376,7 @@ def _lists(postings: DataFrame, parts: int, percent: int, turn: int) -> DataFram
 
     about = F.floor(F.log("n") / log).cast("int")
     dealt = postings.repartition(parts, "key").withColumn("about", about)
-    order = "doc" if not turn else F.xxhash64("doc", F.lit(turn))
+    order = "doc" if not turn else F.xxhash64("doc", F.pmod("key", F.lit(MIDDLES)), F.lit(turn))
     return dealt.sortWithinPartitions(F.col("key").bitwiseAND(F.lit(1)), "key", "about", order, "doc").mapInArrow(run, _LIST)
 
 
@@ -522,7 +525,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
         votes = lists.where("passes").groupBy("doc", "middle").agg(F.count(F.lit(1)).alias("votes"))
         if turn:
             votes = component(component(votes, "doc"), "middle").where("doc_component <> middle_component")
-        chosen = votes.groupBy("doc").agg(F.max_by("middle", F.struct("votes", -F.col("middle"))).alias("middle"))
+        # The middle that a set meets most; later, for the sets that it did not link, several at once.
+        place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("votes"), "middle"))
+        chosen = votes.withColumn("place", place).where(F.col("place") <= (MIDDLES if turn else 1))
         star = work.keep(chosen.select(F.col("middle").alias("a"), F.col("doc").alias("b")), f"star{turn}")
         found = work.keep(_links(star, sets, parts, percent), f"links{turn}")
         links = found if links is None else links.unionAll(found)
@@ -530,7 +535,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
         rows = work.keep(component(lists.select("key", "doc", "n", "place"), "doc").withColumnRenamed("doc_component", "component"), f"labelled{turn}")
         several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("sets")).where("least < most")
         rows = rows.join(several.select("key", "sets"), "key")
-        if found.count() <= WORTH * candidates:
+        if found.select("dst").distinct().count() <= WORTH * candidates:
             break
         turn += 1
         lists = work.keep(_lists(rows.select("key", "doc", "n", "place"), parts, percent, turn), f"lists{turn}")

@@ -33,6 +33,7 @@ class Workspace:
             root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._remove, self.root)
+        self.release()  # what an operator before this one left
 
     def _remove(self, path: str) -> None:
         try:

@@ -50,7 +50,7 @@ BLOCK = 2048
 # ordered by frequency (the most frequent ones; the rest count as rare, which costs time and loses nothing).
 CHUNK_SHINGLES, OFTEN, ORDERED = 4_000_000, 8, 1 << 19
 # Stars go on while one links this part of the sets that share a key.
-WORTH = 0.05
+WORTH = 0.01
 # Middles that a set is compared with in a turn after the first.
 MIDDLES = 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]

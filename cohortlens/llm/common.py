@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: scratch tables, text normalisation, per-process caches."""
+"""What the operators of this subpackage share: scratch tables, text normalisation, filters by id, per-process caches."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,34 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+def among(ids: DataFrame, most: int = 1 << 27) -> tuple[Callable[[str], Column], Callable[[np.ndarray], np.ndarray]]:
+    """A bitmap of the ids, the only column of ``ids``: the slot of a column's ids, and a test of slots for tasks.
+
+    The test is true for each of the ids, and for others in about one of 16 to 32, so what a join would drop need
+    not be shuffled first. The bitmap has ``most`` bits at most (16 MB; beyond that others pass more often).
+    """
+    bits = min(most, max(1 << 15, 1 << (16 * ids.count()).bit_length()))
+    slot = lambda name: F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits)).cast("int")
+    found = ids.select(slot(ids.columns[0]).alias("slot")).groupBy(F.shiftright("slot", 15).alias("part"))
+    marks = np.zeros(bits // 8, np.uint8)
+    for part, raw in found.agg(F.bitmap_construct_agg(F.pmod(F.col("slot"), F.lit(1 << 15)))).collect():
+        marks[part << 12 : (part + 1) << 12] = np.frombuffer(raw, np.uint8)
+    held = ids.sparkSession.sparkContext.broadcast(marks)
+    return slot, lambda at: (held.value[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def where_among(df: DataFrame, name: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that may hold one of the ids, and the others, nulls among either; only the ids' slots go to Python."""
+    slot, may_be = among(ids)
+
+    def test(slots: pa.Array) -> pa.Array:
+        return pa.array(may_be(slots.to_numpy(zero_copy_only=False)))
+
+    test.__annotations__ = {"slots": pa.Array, "return": pa.Array}  # as objects, for Spark
+    found = F.arrow_udf(test, "boolean")(slot(name))
+    return df.where(found), df.where(~found)
+
+
 def per_process(key, make):
     """A value made once in each Python process, whatever number of tasks it serves."""
     store = sys.__dict__.setdefault("_cohortlens_cache", {})

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Workspace, partitions, read_table
+from .common import Workspace, among, partitions, read_table, where_among
 
 WORDS = 5
 PERCENT = 75
@@ -108,7 +108,9 @@ def _profile(source: DataFrame) -> DataFrame:
     names = ["doc_id", "n", "d1", "d2", "span", "counted"]
 
     def flush(sets):
-        high = np.sort((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32))
+        high = np.concatenate(sets)
+        sets.clear()
+        high.sort()
         ends = np.searchsorted(high, np.arange(1, 1 << 16, dtype=np.uint32) << np.uint32(16))
         ends = np.concatenate([[0], ends, [len(high)]])
         sizes, low = np.diff(ends).astype("<u4"), high.astype("<u2")
@@ -125,11 +127,11 @@ def _profile(source: DataFrame) -> DataFrame:
                 own = shingle_set(text.as_py())
                 sizes.append(len(own))
                 digests.append(_digest(own))
-                sets.append(own)
+                sets.append((own >> np.uint64(32)).astype(np.uint32))
                 held += len(own)
                 if held >= CHUNK_SHINGLES:
                     yield flush(sets)
-                    sets, held = [], 0
+                    held = 0
             d = np.array(digests, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.binary())], names)
         if held:
@@ -448,20 +450,27 @@ def linked(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(one) + len(two) - both)
 
 
-def _sets(source: DataFrame) -> DataFrame:
-    """doc and its whole set."""
+def _sets(source: DataFrame, met: DataFrame) -> DataFrame:
+    """doc and its whole set, for the ids in ``met`` and a few others; texts are not shuffled."""
+
+    slot, may_be = among(met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 200):  # of long texts, too, no more than some at once
-                part = batch.slice(s, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["doc", "elements"])
+            own = np.flatnonzero(may_be(batch.column(2).to_numpy()))
+            for s in range(0, len(own), 200):  # of long texts, too, no more than some at once
+                part = own[s : s + 200]
+                elements = [shingle_set(batch.column(1)[k].as_py()).tobytes() for k in part.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), pa.array(elements, pa.binary())], ["doc", "elements"])
 
-    return source.mapInArrow(run, "doc long, elements binary")
+    return source.where("doc_id is not null").select("doc_id", "text", slot("doc_id")).mapInArrow(run, "doc long, elements binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, as src and dst. Members of a middle ``a`` are dealt in chunks; each chunk gets the middle's set."""
+    """Those of the pairs (a, b) that link, as src and dst. Members of a middle ``a`` are dealt in chunks; each chunk gets the middle's set.
+
+    Only sets of the pairs are shuffled, and those always, so that small inputs run as large ones do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middle, middles = None, []
@@ -480,7 +489,8 @@ def _links(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataF
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
     members = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     middles = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("a").alias("doc"))
-    dealt = members.unionByName(middles).join(sets, "doc").select("a", "chunk", "role", "doc", "elements")
+    own = where_among(sets, "doc", pairs.select("a").unionAll(pairs.select("b")).distinct())[0]
+    dealt = members.unionByName(middles).hint("merge").join(own, "doc").select("a", "chunk", "role", "doc", "elements")
     return dealt.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(run, "src long, dst long")
 
 
@@ -497,8 +507,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
         rare = counted.where("bucket is null").agg(F.sum("squares"), F.sum("m")).first()
         boundary = choose_boundary((rare[0] or 0) / max(1, rare[1] or 0), percent)
     # No more rows than ORDERED.
-    often = counted.where("bucket is not null").orderBy(F.desc("m"), "bucket").limit(ORDERED).toPandas()
-    buckets, counts = often["bucket"].to_numpy(np.int64).astype(np.uint32), often["m"].to_numpy(np.int64)
+    often = counted.where("bucket is not null").orderBy(F.desc("m"), "bucket").limit(ORDERED).toArrow()
+    buckets, counts = often["bucket"].to_numpy().astype(np.uint32), often["m"].to_numpy()
     rank = np.empty(len(buckets), np.int32)
     rank[np.lexsort((buckets, counts))] = np.arange(len(buckets), dtype=np.int32)
     by_bucket = np.argsort(buckets)
@@ -513,8 +523,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
     close = work.keep(close.where("shared >= least").select("a", "b"), "close")
     lists = work.keep(lists.where("key is not null"), "lists0")
     work.drop("lists")
-    met = lists.select("doc").unionAll(close.select("a")).unionAll(close.select("b")).distinct().withColumnRenamed("doc", "doc_id")
-    sets = work.keep(_sets(source.join(met, "doc_id", "left_semi")), "sets")
+    met = lists.select("doc").unionAll(close.select("a")).unionAll(close.select("b")).distinct()
+    sets = work.keep(_sets(source, met), "sets")
     work.release()
 
     candidates = lists.select("doc").distinct().count()

@@ -65,19 +65,21 @@ def _snippet(text: str, key: int, words: int = 6) -> str:
     return " ".join(own[at : at + words])
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 2.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """L2-loss linear SVM by dual coordinate descent; the last weight is the bias. y: -1 or 1."""
+def linear_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, cost: float = 2.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
+    """L2-loss linear SVM by dual coordinate descent; the last weight is the bias. y: -1 or 1. rows: of x, those that y is about; they are not copied."""
     rng = np.random.default_rng(seed)
+    rows = np.arange(len(y)) if rows is None else rows
     w = np.zeros(x.shape[1] + 1)
     alpha = np.zeros(len(y))
-    diagonal = (x * x).sum(axis=1) + 1.0 + 0.5 / cost
+    diagonal = np.array([(x[k] * x[k]).sum() for k in rows], x.dtype) + 1.0 + 0.5 / cost
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            gradient = y[i] * (x[i] @ w[:-1] + w[-1]) - 1 + alpha[i] * 0.5 / cost
+            own = x[rows[i]]
+            gradient = y[i] * (own @ w[:-1] + w[-1]) - 1 + alpha[i] * 0.5 / cost
             new = max(alpha[i] - gradient / diagonal[i], 0.0)
             step = (new - alpha[i]) * y[i]
             if step:
-                w[:-1] += step * x[i]
+                w[:-1] += step * own
                 w[-1] += step
                 alpha[i] = new
     return w
@@ -124,7 +126,9 @@ def train(samples: list[tuple[int, str, str]]) -> Model | None:
     for key, lang, text in samples:
         texts += [text, _snippet(text, key), _snippet(text, key + 1, 3)]
         labels += [lang] * 3
-    x = np.stack([features(t) for t in texts]).astype(np.float32) if texts else np.zeros((0, BUCKETS))
+    x = np.zeros((len(texts), BUCKETS), np.float32)  # the driver's largest table
+    for k, t in enumerate(texts):
+        x[k] = features(t)
     own = np.array(labels)
     groups = {f: np.isin(own, members) for f, members in families.items()}
     problems = [(a, b, groups[a], groups[b]) for a, b in combinations(sorted(families), 2)]
@@ -134,7 +138,7 @@ def train(samples: list[tuple[int, str, str]]) -> Model | None:
     weights = np.zeros((len(problems), BUCKETS + 1), np.float32)
     for k, (a, b, first, second) in enumerate(problems):
         rows = np.flatnonzero(first | second)
-        weights[k] = linear_svm(x[rows], np.where(first[rows], 1.0, -1.0))
+        weights[k] = linear_svm(x, np.where(first[rows], 1.0, -1.0), rows)
         pairs[a, b] = k
     return Model(families, weights, pairs)
 

@@ -208,10 +208,11 @@ def _bitmaps(chosen: DataFrame) -> dict[str, np.ndarray]:
                     slots.append(shape_slot(pattern, kind))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(slots, pa.int64())], ["sort", "slot"])
 
-    found = chosen.select("kind", "sort", "pattern").mapInArrow(run, "sort string, slot long").distinct().toPandas()
+    found = chosen.select("kind", "sort", "pattern").mapInArrow(run, "sort string, slot long").distinct().toArrow()  # pandas stays out of the driver's memory
+    sorts, slots = (found.column(k).to_numpy() for k in range(2))
     maps = {sort: np.zeros(1 << BITS, bool) for sort in ("left", "shape")}
     for sort, bits in maps.items():
-        bits[found["slot"][found["sort"] == sort].to_numpy(np.int64)] = True
+        bits[slots[sorts == sort]] = True
     return {sort: np.packbits(bits) for sort, bits in maps.items()}
 
 

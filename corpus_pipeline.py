@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.best_fit_packing import pack_documents
-from cohortlens.llm.common import Workspace, read_table
+from cohortlens.llm.common import Workspace, read_table, where_among
 from cohortlens.llm.content_sort_dedup import keep_one
 from cohortlens.llm.jaccard_join import near_duplicates
 from cohortlens.llm.language_id import UNDETERMINED, fit, identify
@@ -35,7 +35,8 @@ def keep_one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of similar documents the smallest doc_id stays; rows without an id stay."""
     gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    may_go, stay = where_among(docs, "doc_id", gone)
+    return stay.unionAll(may_go.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

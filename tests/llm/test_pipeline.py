@@ -55,6 +55,46 @@ def test_rows_without_an_id_stay(spark):
     assert near.columns == docs.columns and {r.doc_id for r in near.collect()} == {None, 1, 2}
 
 
+def test_only_few_texts_are_shuffled(spark):
+    """Sets are made of the rows that meet, and rows are dropped, without a shuffle of the texts that stay."""
+    from cohortlens.llm import jaccard_join as jj
+    from cohortlens.llm.common import where_among
+
+    rows = [(k, f"text {k}") for k in range(500)] + [(None, "no id"), (-7, "negative"), (7, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for ids in ([], [7], [-7, 3, 499], list(range(0, 500, 5))):
+        wanted = spark.createDataFrame([(k,) for k in ids], "id long")
+        may_be, others = where_among(docs, "doc_id", wanted)
+        first, rest = [tuple(r) for r in may_be.collect()], [tuple(r) for r in others.collect()]
+        assert sorted(first + rest, key=str) == sorted(rows, key=str)
+        assert {d for d, _ in first} >= set(ids) and not {d for d, _ in rest} & set(ids)
+        assert len(first) <= sum(d in ids for d, _ in rows) + 100
+        assert "Exchange" not in may_be._jdf.queryExecution().executedPlan().toString()
+        sets = jj._sets(docs, wanted)
+        assert {r.doc for r in sets.collect()} >= set(ids)
+        assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+    texts = [(k, f"one two three four five six {'x' if k < 2 else f'{k} {k}a {k}b'}", "en", "s", 1) for k in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.keep_one_of_similar(spark, docs, DATA).collect()} == set(range(300)) - {1}
+
+
+def test_training_holds_its_table_once():
+    """The driver's memory is small; training must not hold its features twice."""
+    import random
+    import tracemalloc
+
+    from cohortlens.llm import language_id as li
+
+    rng = random.Random(3)
+    samples = [(k, lang, " ".join(rng.choice(words) for _ in range(30))) for k in range(60) for lang, words in (("en", ["the", "house", "was"]), ("de", ["das", "haus", "war"]), ("fr", ["la", "maison", "était"]))]
+    tracemalloc.start()
+    model = li.train(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 3 * len(samples) * li.BUCKETS * 4
+    assert model.predict("das haus war das haus")[1] == "de"
+
+
 def test_stages_keep_the_columns(spark):
     assert [k for k, _ in cp.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "pii", "packing"]
     docs = spark.createDataFrame([(1, "call +1 (269) 555-3296 now", "en", "s", 26), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")

@@ -14,7 +14,8 @@ over all lists, and those that share too few to link are dropped.
 
 Lists of frequent elements and of subsets can be long and, for near copies, mutually alike, and only classes
 are wanted. So sets are first compared with one set of their lists (a star, linear in the lists' length),
-and those that link are one component; stars with other middles follow while they link much. What is left
+and those that link are one component; stars with other middles follow while they link much. If a few sets
+then meet a large group, each is first compared with a sample of it, as one link is enough. What is left
 are pairs of sets of different components that meet in a list and have enough behind the element in both,
 as linked sets do at the first element that they share. Long lists are cut in blocks, and a middle's members
 are dealt in chunks, so no task gathers a list or a group of copies.
@@ -53,6 +54,8 @@ CHUNK_SHINGLES, OFTEN, ORDERED = 4_000_000, 8, 1 << 19
 WORTH = 0.01
 # Middles that a set is compared with in a turn after the first.
 MIDDLES = 8
+# Pairs that lists leave, for each set, over which parts of them (one set of so many) are compared first.
+MANY, SAMPLED = 32, (32, 8)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -382,18 +385,23 @@ def _lists(postings: DataFrame, parts: int, percent: int, turn: int) -> DataFram
     return dealt.sortWithinPartitions(F.col("key").bitwiseAND(F.lit(1)), "key", "about", order, "doc").mapInArrow(run, _LIST)
 
 
-def _meeting_pairs(rows: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that meet in a list and pass by place. rows: key, doc, n, place, component, sets (of the list)."""
+def _meeting_pairs(rows: DataFrame, parts: int, percent: int, sample: int = 1) -> DataFrame:
+    """Pairs (a, b) of sets of different components that meet in a list and pass by place. rows: key, doc, n, place, component, sets (of the list).
+
+    With a sample, only those in which one of the two belongs to it: one set of so many, by its hash.
+    """
     names = ["a", "b"]
+    drawn = lambda doc: _finish(doc.astype(np.uint64) * _MIX[0] + np.uint64(sample)) % np.uint64(sample) == 0
 
     def pairs(own):
         """Of one pair of blocks of a list, some rows of the triangle at a time."""
         _, lo, hi, block, doc, n, place, component = own
         one, two = (block == lo).nonzero()[0], (block == hi).nonzero()[0]
+        first, second = drawn(doc[one]), drawn(doc[two])
         step = max(1, 2_000_000 // max(1, len(two)))
         for s in range(0, len(one), step):
             i = one[s : s + step, None]
-            fits = (component[i] != component[two]) & _passes(n[i], place[i], n[two], place[two], percent)
+            fits = (component[i] != component[two]) & (first[s : s + step, None] | second) & _passes(n[i], place[i], n[two], place[two], percent)
             if lo[0] == hi[0]:
                 fits &= i < two
             i, j = fits.nonzero()
@@ -415,7 +423,7 @@ def _meeting_pairs(rows: DataFrame, parts: int, percent: int) -> DataFrame:
                 starts, ends = starts[:-1], ends[:-1]
             _, _, _, _, doc, n, place, component = own
             i = starts[ends - starts == 2]  # most lists: at once
-            i = i[(component[i] != component[i + 1]) & _passes(n[i], place[i], n[i + 1], place[i + 1], percent)]
+            i = i[(component[i] != component[i + 1]) & (drawn(doc[i]) | drawn(doc[i + 1])) & _passes(n[i], place[i], n[i + 1], place[i + 1], percent)]
             found = [(np.minimum(doc[i], doc[i + 1]), np.maximum(doc[i], doc[i + 1]))]
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
                 for ab in pairs([c[s:e] for c in own]):
@@ -531,6 +539,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
     links = groups = None
     turn = 0
     component = lambda df, c: df.join(groups.select(F.col("node").alias(c), F.col("component").alias("_")), c, "left").withColumn(f"{c}_component", F.coalesce("_", c)).drop("_")
+
+    def labelled(lists, links, name):
+        """Components of the links, and the rows of lists with several of them."""
+        nonlocal groups
+        groups = connected_components(links, lambda df, k: work.keep(df, f"groups{name}_{k}"))
+        rows = work.keep(component(lists.select("key", "doc", "n", "place"), "doc").withColumnRenamed("doc_component", "component"), f"labelled{name}")
+        several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("sets")).where("least < most")
+        return rows.join(several.select("key", "sets"), "key")
+
     while True:
         votes = lists.where("passes").groupBy("doc", "middle").agg(F.count(F.lit(1)).alias("votes"))
         if turn:
@@ -541,19 +558,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
         star = work.keep(chosen.select(F.col("middle").alias("a"), F.col("doc").alias("b")), f"star{turn}")
         found = work.keep(_links(star, sets, parts, percent), f"links{turn}")
         links = found if links is None else links.unionAll(found)
-        groups = connected_components(links, lambda df, name, turn=turn: work.keep(df, f"groups{turn}_{name}"))
-        rows = work.keep(component(lists.select("key", "doc", "n", "place"), "doc").withColumnRenamed("doc_component", "component"), f"labelled{turn}")
-        several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("sets")).where("least < most")
-        rows = rows.join(several.select("key", "sets"), "key")
+        rows = labelled(lists, links, f"{turn}")
         if found.select("dst").distinct().count() <= WORTH * candidates:
             break
         turn += 1
         lists = work.keep(_lists(rows.select("key", "doc", "n", "place"), parts, percent, turn), f"lists{turn}")
         work.release()
+    for sample in SAMPLED:
+        same = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"), F.first("sets").alias("sets"))
+        left = same.agg(F.sum(F.col("own") * (F.col("sets") - F.col("own")).cast("double")) / 2).first()[0] or 0
+        if left <= MANY * candidates:
+            break
+        star = work.keep(_meeting_pairs(rows, parts, percent, sample).distinct(), f"sample{sample}")
+        links = links.unionAll(work.keep(_links(star, sets, parts, percent), f"sampled{sample}"))
+        rows = labelled(rows.select("key", "doc", "n", "place"), links, f"_{sample}")
     apart = component(component(close, "a"), "b").where("a_component <> b_component").select("a", "b")
     pairs = work.keep(_meeting_pairs(rows, parts, percent).unionAll(apart).distinct(), "pairs")
     links = links.unionAll(work.keep(_links(pairs, sets, parts, percent), "last_links"))
-    work.drop("sets", "pairs", "close", *(f"{name}{k}" for k in range(turn + 1) for name in ("lists", "labelled", "star")))
+    work.drop("sets", "pairs", "close", *(f"{name}{k}" for k in range(turn + 1) for name in ("lists", "labelled", "star")), *(f"{name}{k}" for k in SAMPLED for name in ("sample", "labelled_")))
     work.release()
 
     classes = sets_of.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))

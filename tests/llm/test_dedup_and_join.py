@@ -90,6 +90,27 @@ def test_jaccard_join_of_a_common_passage(spark, monkeypatch):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
 
 
+def test_few_sets_beside_a_large_group(spark, monkeypatch):
+    """Sets that link to some of a large group are found by a sample of it, before all pairs are compared."""
+    rng = random.Random(5)
+    base = [f"p{k}" for k in range(120)]
+    rows = []
+    for k in range(400):
+        own = list(base)
+        for j in rng.sample(range(120), rng.choice([0, 1, 2] if k < 340 else [3, 4, 5])):
+            own[j] = f"u{k}_{j}"
+        rows.append((k, " ".join(own)))
+    monkeypatch.setattr(jj, "WORTH", 1.0)  # one turn of stars leaves much
+    compared, links = [], jj._links
+    monkeypatch.setattr(jj, "_links", lambda pairs, *rest: compared.append(pairs.count()) or links(pairs, *rest))
+    for many in (1e9, 0):
+        monkeypatch.setattr(jj, "MANY", many)
+        got = jj.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))
+        assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
+    whole, *sampled = compared[1], *compared[3:]
+    assert len(sampled) == 3 and sum(sampled) < whole
+
+
 def brute_repeats(rows, length):
     seen, out = set(), []
     for d, t in sorted(rows):

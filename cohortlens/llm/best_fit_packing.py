@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, per_process, read_table
+from .common import Workspace, lean, per_process, read_table
 
 SEPARATOR = 0
 BLOCKS = 256
@@ -91,7 +91,7 @@ def tokenize_pieces(docs: DataFrame, rank_path: str, pattern: str, capacity: int
             yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return source.mapInArrow(lean(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def _price_out(prices: np.ndarray, capacity: int) -> Counter:
@@ -264,7 +264,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             columns[names.index("sequence_id")], columns[names.index("offset")] = pa.array(sequence), pa.array(offset)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return ranked.mapInArrow(place, ranked.schema)
+    return ranked.mapInArrow(lean(place), ranked.schema)
 
 
 def pack_documents(docs: DataFrame, rank_path: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

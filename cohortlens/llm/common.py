@@ -1,14 +1,16 @@
-"""What the operators of this subpackage share: scratch tables, text normalisation, filters by id, per-process caches."""
+"""What the operators of this subpackage share: scratch tables, text normalisation, filters by id, per-process caches and memory."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import sys
 import tempfile
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +66,7 @@ class Workspace:
 
 
 def among(ids: DataFrame, most: int = 1 << 27) -> tuple[Callable[[str], Column], Callable[[np.ndarray], np.ndarray]]:
-    """A bitmap of the ids, the only column of ``ids``: the slot of a column's ids, and a test of slots for tasks.
+    """A bitmap of the ids, the only column of ``ids``, which may repeat: the slot of a column's ids, and a test of slots for tasks.
 
     The test is true for each of the ids, and for others in about one of 16 to 32, so what a join would drop need
     not be shuffled first. The bitmap has ``most`` bits at most (16 MB; beyond that others pass more often).
@@ -99,6 +101,32 @@ def per_process(key, make):
     return store[key]
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, for mapInArrow, with what it freed given back to the system now and then, and at its end.
+
+    Python processes outlive their tasks; what the allocators keep for later would lie beside the next operator's memory.
+    """
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            del out
+            if time.monotonic() - last > 1:
+                _give_back()
+                last = time.monotonic()
+        _give_back()
+
+    return leaner
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does the same on pure ASCII texts, and faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))

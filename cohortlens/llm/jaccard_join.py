@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Workspace, among, partitions, read_table, where_among
+from .common import Workspace, among, lean, partitions, read_table, where_among
 
 WORDS = 5
 PERCENT = 75
@@ -56,6 +56,8 @@ WORTH = 0.01
 MIDDLES = 8
 # Pairs that lists leave, for each set, over which parts of them (one set of so many) are compared first.
 MANY, SAMPLED = 32, (32, 8)
+# Links whose components the driver finds itself (16 MB of them); more go through tables.
+SETTLED = 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -140,7 +142,7 @@ def _profile(source: DataFrame) -> DataFrame:
         if held:
             yield flush(sets)
 
-    return source.mapInArrow(run, _PROFILE)
+    return source.mapInArrow(lean(run), _PROFILE)
 
 
 def _counts(profile: DataFrame, parts: int) -> DataFrame:
@@ -188,7 +190,7 @@ def _counts(profile: DataFrame, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64()), pa.array([squares], pa.int64())], ["bucket", "m", "squares"])
 
     dealt = profile.where("counted is not null").select("span", "counted").repartition(parts, "span").sortWithinPartitions("span")
-    return dealt.mapInArrow(run, "bucket long, m long, squares long")
+    return dealt.mapInArrow(lean(run), "bucket long, m long, squares long")
 
 
 def choose_boundary(list_length: float, percent: int = PERCENT) -> int:
@@ -280,7 +282,7 @@ def _postings(source: DataFrame, held, boundary: int, percent: int) -> DataFrame
                     parts, held_keys = [], 0
             yield out(parts)
 
-    return source.mapInArrow(run, _POSTING)
+    return source.mapInArrow(lean(run), _POSTING)
 
 
 def _passes(n, place, m, other, percent: int):
@@ -382,7 +384,7 @@ def _lists(postings: DataFrame, parts: int, percent: int, turn: int) -> DataFram
     about = F.floor(F.log("n") / log).cast("int")
     dealt = postings.repartition(parts, "key").withColumn("about", about)
     order = "doc" if not turn else F.xxhash64("doc", F.pmod("key", F.lit(MIDDLES)), F.lit(turn))
-    return dealt.sortWithinPartitions(F.col("key").bitwiseAND(F.lit(1)), "key", "about", order, "doc").mapInArrow(run, _LIST)
+    return dealt.sortWithinPartitions(F.col("key").bitwiseAND(F.lit(1)), "key", "about", order, "doc").mapInArrow(lean(run), _LIST)
 
 
 def _meeting_pairs(rows: DataFrame, parts: int, percent: int, sample: int = 1) -> DataFrame:
@@ -443,7 +445,7 @@ def _meeting_pairs(rows: DataFrame, parts: int, percent: int, sample: int = 1) -
     cut = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "n", "place", "component")
     dealt = cut.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def linked(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
@@ -471,7 +473,7 @@ def _sets(source: DataFrame, met: DataFrame) -> DataFrame:
                 elements = [shingle_set(batch.column(1)[k].as_py()).tobytes() for k in part.tolist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), pa.array(elements, pa.binary())], ["doc", "elements"])
 
-    return source.where("doc_id is not null").select("doc_id", "text", slot("doc_id")).mapInArrow(run, "doc long, elements binary")
+    return source.where("doc_id is not null").select("doc_id", "text", slot("doc_id")).mapInArrow(lean(run), "doc long, elements binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -497,9 +499,36 @@ def _links(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataF
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
     members = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     middles = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("a").alias("doc"))
-    own = where_among(sets, "doc", pairs.select("a").unionAll(pairs.select("b")).distinct())[0]
+    own = where_among(sets, "doc", pairs.select("a").unionAll(pairs.select("b")))[0]
     dealt = members.unionByName(middles).hint("merge").join(own, "doc").select("a", "chunk", "role", "doc", "elements")
-    return dealt.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(run, "src long, dst long")
+    return dealt.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(lean(run), "src long, dst long")
+
+
+def smallest_reached(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links, ascending, and for each the smallest that it reaches. Trees that a link joins become half as many in two rounds at most."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    one, two = at[: len(src)], at[len(src) :]
+    root = np.arange(len(nodes))
+    while len(one):
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(above := root[root], root):
+            root = above
+        one, two = root[one], root[two]
+        apart = one != two
+        one, two = one[apart], two[apart]
+    return nodes, nodes[root]
+
+
+def _components(links: DataFrame, keep) -> DataFrame:
+    """node and component (its smallest node) for each node of the links (src, dst).
+
+    Through tables that takes some twenty shuffles, each of as many tasks as there are partitions, whatever they hold.
+    """
+    if links.count() > SETTLED:
+        return connected_components(links, keep)
+    found = links.select("src", "dst").toArrow()
+    nodes, least = smallest_reached(found["src"].to_numpy(), found["dst"].to_numpy())
+    return keep(links.sparkSession.createDataFrame(pa.table({"node": nodes, "component": least})), "settled")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -543,7 +572,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
     def labelled(lists, links, name):
         """Components of the links, and the rows of lists with several of them."""
         nonlocal groups
-        groups = connected_components(links, lambda df, k: work.keep(df, f"groups{name}_{k}"))
+        groups = _components(links, lambda df, k: work.keep(df, f"groups{name}_{k}"))
         rows = work.keep(component(lists.select("key", "doc", "n", "place"), "doc").withColumnRenamed("doc_component", "component"), f"labelled{name}")
         several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("sets")).where("least < most")
         return rows.join(several.select("key", "sets"), "key")
@@ -581,7 +610,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, boundary: int | Non
     classes = sets_of.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
     of_doc = work.keep(sets_of.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
     edges = links.select("src", "dst").unionAll(of_doc.where("doc_id <> class_id").select("doc_id", "class_id"))
-    found = connected_components(edges, work.keep)
+    found = _components(edges, work.keep)
     return of_doc.join(found, of_doc["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

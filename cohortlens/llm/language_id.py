@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import read_table
+from .common import lean, read_table
 
 UNDETERMINED = "und"
 BUCKETS = 4096
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             columns = [*batch.columns[:-1], pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return has_letter.mapInArrow(run, schema)
+    return has_letter.mapInArrow(lean(run), schema)
 
 
 def op7_language_id(spark, sf_dir):

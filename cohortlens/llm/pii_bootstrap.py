@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Workspace, read_table
+from .common import Workspace, lean, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {kind: k for k, kind in enumerate(KINDS)}
@@ -208,7 +208,7 @@ def _bitmaps(chosen: DataFrame) -> dict[str, np.ndarray]:
                     slots.append(shape_slot(pattern, kind))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(slots, pa.int64())], ["sort", "slot"])
 
-    found = chosen.select("kind", "sort", "pattern").mapInArrow(run, "sort string, slot long").distinct().toArrow()  # pandas stays out of the driver's memory
+    found = chosen.select("kind", "sort", "pattern").mapInArrow(lean(run), "sort string, slot long").distinct().toArrow()  # pandas stays out of the driver's memory
     sorts, slots = (found.column(k).to_numpy() for k in range(2))
     maps = {sort: np.zeros(1 << BITS, bool) for sort in ("left", "shape")}
     for sort, bits in maps.items():
@@ -243,7 +243,7 @@ def _first_reading(source: DataFrame) -> DataFrame:
                 seeds.append(edges)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, _SPAN), pa.array(seeds, _EDGE)], ["doc_id", "text_key", "spans", "seeds"])
 
-    return source.mapInArrow(run, _SEEDS)
+    return source.mapInArrow(lean(run), _SEEDS)
 
 
 # What an occurrence of a pattern is followed by or fits: a seed, another candidate, or an ordinary word.
@@ -313,7 +313,7 @@ def _second_reading(source: DataFrame, bitmaps: dict[str, np.ndarray]) -> DataFr
             yield table(rows)
         yield total()
 
-    return source.mapInArrow(run, _HITS)
+    return source.mapInArrow(lean(run), _HITS)
 
 
 def score_graph(edges: list[tuple], counts: dict[tuple, tuple[int, int]], rounds: int) -> dict[tuple, float]:
@@ -407,7 +407,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
+import ctypes
 import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute_force import brute_components, lower
 from cohortlens.llm import jaccard_join as jj
+from cohortlens.llm.common import Workspace
 from cohortlens.llm.content_sort_dedup import content_sort, keep_one
 from cohortlens.llm.suffix_dedup import remove_repeats, suffix_order
 
@@ -111,6 +114,80 @@ def test_few_sets_beside_a_large_group(spark, monkeypatch):
     assert len(sampled) == 3 and sum(sampled) < whole
 
 
+def test_smallest_reached():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 60, 400):
+        for most in (3, 40, 2000):
+            src, dst = (rng.integers(-most, most, n) * 1_000_003 for _ in range(2))
+            least = {k: k for k in [*src.tolist(), *dst.tolist()]}
+            for _ in least:
+                for a, b in zip(src.tolist(), dst.tolist()):
+                    least[a] = least[b] = min(least[a], least[b])
+            nodes, found = jj.smallest_reached(src, dst)
+            assert dict(zip(nodes.tolist(), found.tolist())) == least and len(nodes) == len(least)
+
+
+def test_components_of_few_links_take_few_tasks(spark, monkeypatch):
+    """Few links are settled without shuffles, as each of those has a task for every partition; many go through tables, with equal results."""
+    rng = random.Random(7)
+    links = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "src long, dst long").where("src <> dst")
+    tracker = spark.sparkContext.statusTracker()
+    tasks, found = {}, {}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for settled in (jj.SETTLED, 10):
+        monkeypatch.setattr(jj, "SETTLED", settled)
+        keep = Workspace(spark, f"settled{settled}").keep
+        for k, v in zip(before, ("30", "false")):
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(f"settled {settled}", "")
+        found[settled] = sorted(map(tuple, jj._components(links, keep).collect()))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        jobs = tracker.getJobIdsForGroup(f"settled {settled}")
+        tasks[settled] = sum(s.numCompletedTasks for j in jobs for k in tracker.getJobInfo(j).stageIds if (s := tracker.getStageInfo(k)))
+    assert found[10] == found[1 << 20]
+    assert tasks[1 << 20] < 30 < 300 < tasks[10], tasks
+
+
+def test_jaccard_join_of_many_links(spark, monkeypatch):
+    """Components through tables, as for more links than the driver settles."""
+    monkeypatch.setattr(jj, "SETTLED", 0)
+    rows = near_rows(7, 120)
+    got = jj.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
+
+
+def test_workers_give_memory_back():
+    """What a task freed does not stay with its process, which lives on beside the next operator."""
+
+    class Source:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    def held():
+        with open("/proc/self/smaps_rollup") as lines:
+            return sum(int(x.split()[1]) for x in lines if x.startswith(("Pss_Anon", "Pss_Shmem"))) / 1024
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(2000)]
+
+    def batches():
+        for k in range(3):
+            raw = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6000)), "text": texts * 3})
+            with pa.ipc.new_stream(raw, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.ipc.open_stream(raw.getvalue()).read_next_batch()
+
+    for _ in jj._profile(Source())(batches()):
+        pass
+    after = held()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    assert after - held() < 20
+
+
 def brute_repeats(rows, length):
     seen, out = set(), []
     for d, t in sorted(rows):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,49 @@ def test_merge_dropout_by_occurrence(monkeypatch):
         assert codec._merge_short("▁interesting", skips) == codec._merge_long("▁interesting", skips)
 
 
+def test_merge_dropout_in_arrays(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(5)
+    words = ["interesting", "internationalization", "x" * 40, "the", "é", "▁", "漢😀", "", "ab" * 30]
+    texts = ["".join(rng.choice(" ab\té\x00漢😀\n  theing▁") for _ in range(rng.randint(0, 80))) for _ in range(100)]
+    texts += [" ".join(rng.choice(words) for _ in range(60)) for _ in range(60)] + ["", None, " ", "a " + "ab" * 900, "the " * 300]
+    keys = np.array([rng.randrange(-(2**63), 2**63) for _ in texts], np.int64)
+
+    def same(codec, texts, keys):
+        arrays, want = md.Arrays(codec), [codec.encode(t or "", k) for t, k in zip(texts, keys.tolist())]
+        for _ in range(2):  # the second time from kept words
+            ids, ends = arrays.encode(pa.array(texts, pa.string()), keys)
+            assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+        return arrays.decode(ids, ends)
+
+    for rate in (0.0, 0.1, 0.5, 1.0):
+        assert list(same(md.Codec(path, rate, 1), texts, keys)) == [t or "" for t in texts]
+    ids, ends = md.Arrays(md.Codec(path, 0.1, 1)).encode(pa.array([None, ""], pa.string()), keys[:2])
+    assert ids.size == 0 and ends.tolist() == [0, 0]
+    for seed in range(6):  # pieces with equal scores: leftmost first
+        tied = md.Codec(path, 0.2, seed)
+        pieces = sorted({"".join(rng.choice("▁abc") for _ in range(rng.randint(1, 4))) for _ in range(60)})
+        tied.ids, tied.score = {p: k for k, p in enumerate(pieces)}, {p: float(rng.randint(0, 3)) for p in pieces}
+        same(tied, ["".join(rng.choice("aabbc d") for _ in range(200)) for _ in range(20)], keys[:20])
+    rows = list(enumerate(texts)) + [(None, "the interesting"), (3, "again")]
+    codec = md.Codec(path, 0.1, 1)
+    want = Counter((d, zlib.crc32(np.asarray(ids, "<u4").tobytes()), len(ids), True) for d, t in rows for ids in [codec.encode(t or "", d or 0)])
+    monkeypatch.setattr(md, "_TOGETHER", 500)
+    monkeypatch.setattr(md, "CACHED", 3)
+    for k in (0, 1):  # caches and portions change nothing
+        batch = pa.record_batch([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
+        arrays, got = md.Arrays(codec), []
+        for part, own in md._portions(batch):
+            assert part.num_rows < len(rows)
+            ids, ends = arrays.encode(part.column(1), own)
+            got += [(d, zlib.crc32(x), x.size, True) for d, x in zip(part.column(0).to_pylist(), np.split(ids, ends[:-1]))]
+        assert Counter(got) == want
+        monkeypatch.setattr(md.Codec, "node", None)  # words of tables are not merged one by one
+    assert Counter(tuple(r)[:1] + (r.ids_crc32, r.n_tokens, r.lossless) for r in md.round_trip(spark.createDataFrame(rows, SCHEMA), path).collect()) == want
+    assert Counter((r.doc_id, zlib.crc32(np.asarray(r.ids, "<u4").tobytes()), len(r.ids), True) for r in md.encode(spark.createDataFrame(rows, SCHEMA), path).collect()) == want
+    assert md.round_trip(spark.createDataFrame([], SCHEMA), path).collect() == []
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = li.identify(docs.select("doc_id", "text", "lang"), li.fit(docs, per_language=120)).withColumn("out", li.held_out(F.col("doc_id")))

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -410,8 +410,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     return joined.mapInArrow(lean(run), schema)
 
 
+def _count(spans: str, kind: int) -> Column:
+    # The lambda takes the element alone: a second parameter, even with a default, would be the element's place.
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def digest_columns(found: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     every = F.array_sort(F.array_union("base", "added"))
     return found.select("doc_id", *counts, F.sha2(_digest(F.array_sort("base")), 256).alias("base_sha256"), _digest(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import re
@@ -324,6 +325,16 @@ def test_base_spans():
     assert pii.base_spans("9" * 100_000 + "@" * 100_000) == []
 
 
+def test_digest_counts_each_kind(spark):
+    """Counts and digest of base spans: none, one of a kind, several kinds in any order, several of one kind."""
+    texts = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+49 30 1234567", "+49 30 1234567 then a@b.co and c@d.org, 1.2.3.4", "1.2.3.4 and 5.6.7.8 of 4111-1111-1111-1111 to +49 30 1234567", "none", "", None]
+    got = {r.doc_id: r for r in pii.digest_columns(pii.find(spark.createDataFrame(list(enumerate(texts)), SCHEMA))).collect()}
+    for k, t in enumerate(texts):
+        spans = brute_spans(t or "")
+        assert [got[k][f"n_{name}"] for name in pii.KINDS] == [sum(kind == place for _, kind, _ in spans) for place in range(4)], t
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[kind]}:{s}:{e}" for s, kind, e in spans).encode()).hexdigest(), t
+
+
 def test_bootstrap_finds_swallowed_entities(spark):
     rng = random.Random(4)
     phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"

@@ -75,3 +75,9 @@ def mirror_distinct(c: Column) -> Column:
 
 def order_of_magnitude(c: Column) -> Column:
     return F.max(F.floor(F.log10(F.abs(c))))
+
+
+def arg_max(key: str, value: str) -> Column:
+    """Aggregate: the integer key of the row with the greatest value, the least key of several such rows; rows with a null in either take no part."""
+    known = F.col(key).isNotNull() & F.col(value).isNotNull()
+    return F.max_by(key, F.when(known, F.struct(F.col(value), F.bitwise_not(key))))

@@ -118,7 +118,7 @@ def _(t):
 
 @query("A20_group_modify", "SELECT o_custkey, CAST(max(o_totalprice) AS DOUBLE) AS top, arg_max(o_orderkey, o_totalprice) AS top_order FROM orders GROUP BY 1")
 def _(t):
-    return t.orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"), F.max_by("o_orderkey", "o_totalprice").alias("top_order"))
+    return t.orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"), stats.arg_max("o_orderkey", "o_totalprice").alias("top_order"))
 
 
 @query("A21_order_of_magnitude", "SELECT c_mktsegment, CAST(max(floor(log10(abs(c_acctbal)))) AS BIGINT) AS magnitude FROM customer WHERE c_acctbal <> 0 GROUP BY 1")

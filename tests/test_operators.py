@@ -109,3 +109,11 @@ def test_documents():
     assert documents.repair_sentences(["One", ".", "and two.", "Open (a", "b) end.", "orange is not a conjunction"]) == ["One. and two.", "Open (a b) end.", "orange is not a conjunction"]
     text = " ".join(f"w{k}" for k in range(1000))
     assert [len(c.split()) for c in documents.chunk(text, 400)] == [400, 400, 200]
+
+
+def test_arg_max_takes_the_least_key_of_tied_rows(spark):
+    rows = [(1, 5, 2.0), (1, 3, 2.0), (1, 9, 2.0), (1, 1, 1.0), (2, None, 9.0), (2, 7, 4.0), (2, 6, None), (3, 8, None), (4, -5, -1.0), (4, -7, -1.0)]
+    for _ in range(3):
+        random.shuffle(rows)
+        df = spark.createDataFrame(rows, "g int, k long, v double").repartition(3)
+        assert {r.g: r.k for r in df.groupBy("g").agg(stats.arg_max("k", "v").alias("k")).collect()} == {1: 3, 2: 7, 3: None, 4: -7}

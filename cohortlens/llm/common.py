@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import gc
 import os
 import sys
 import tempfile
-import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.memory import lean  # noqa: F401  the operators take it from here
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -101,32 +101,6 @@ def per_process(key, make):
     return store[key]
 
 
-def _give_back() -> None:
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
-    if trim:
-        trim(0)
-
-
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, for mapInArrow, with what it freed given back to the system now and then, and at its end.
-
-    Python processes outlive their tasks; what the allocators keep for later would lie beside the next operator's memory.
-    """
-
-    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = time.monotonic()
-        for out in run(batches):
-            yield out
-            del out
-            if time.monotonic() - last > 1:
-                _give_back()
-                last = time.monotonic()
-        _give_back()
-
-    return leaner
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does the same on pure ASCII texts, and faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.memory import rows_of
 from ..functions.text import locate_all
 from ..operators.joins import contains_terms
 
@@ -112,11 +113,9 @@ def chunk(text: str | None, limit: int = 400) -> list[str]:
     return out
 
 
-def chunks(c: Column, limit: int = 400) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk(t, limit))
-
-    return F.pandas_udf(run, "array<string>")(c)
+def chunks(df: DataFrame, key: str, text: str, limit: int = 400) -> DataFrame:
+    """(key, pos, chunk): a row for each piece of a text."""
+    return rows_of(df, [key], text, lambda t: enumerate(chunk(t, limit)), {"pos": "int", "chunk": "string"})
 
 
 # What a piece begins or ends with that goes on.

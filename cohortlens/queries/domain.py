@@ -281,7 +281,7 @@ def _(t):
 
 @query("T7_chunks")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(docs.chunks(F.col("text"))).alias("pos", "chunk"))
+    return docs.chunks(t.documents, "doc_id", "text")
 
 
 @query("T8_sentences")

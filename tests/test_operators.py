@@ -117,3 +117,17 @@ def test_arg_max_takes_the_least_key_of_tied_rows(spark):
         random.shuffle(rows)
         df = spark.createDataFrame(rows, "g int, k long, v double").repartition(3)
         assert {r.g: r.k for r in df.groupBy("g").agg(stats.arg_max("k", "v").alias("k")).collect()} == {1: 3, 2: 7, 3: None, 4: -7}
+
+
+def test_chunks_leave_as_they_are_found(spark, monkeypatch):
+    """No task holds the results of a whole batch: they leave by FLUSH, as rows, with equal results."""
+    from cohortlens.functions import memory
+
+    texts = [None, "", "one", "\n\n".join(" ".join(f"w{k}" for k in range(n)) for n in (300, 200, 900))] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = sorted((k, pos, c) for k, t in enumerate(texts) for pos, c in enumerate(documents.chunk(t)))
+    for flush in (1, 1000, 1 << 20):
+        monkeypatch.setattr(memory, "FLUSH", flush)
+        assert sorted(map(tuple, documents.chunks(df, "doc_id", "text").collect())) == want
+    plan = documents.chunks(df, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan

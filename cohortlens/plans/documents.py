@@ -6,7 +6,6 @@ import re
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +63,18 @@ def parse_sections(html: str | None) -> list[dict]:
     return [{"pos": k, "level": lv, "title": title, "text": text} for k, (lv, title, text) in enumerate(own)]
 
 
+# Columns of a section.
+SECTION = {"pos": "int", "level": "int", "title": "string", "text": "string"}
+
+
+def section_rows(sections: list[dict]) -> list[tuple]:
+    return [tuple(s[name] for name in SECTION) for s in sections]
+
+
 def html_sections(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, pos, level, title, text): a row for each section."""
 
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(parse_sections)
-
-    parse = F.pandas_udf(run, "array<struct<pos:int,level:int,title:string,text:string>>")
-    return pages.select(key, F.explode(parse(html)).alias("s")).select(key, "s.*")
+    return rows_of(pages, [key], html, lambda page: section_rows(parse_sections(page)), SECTION)
 
 
 def chunk(text: str | None, limit: int = 400) -> list[str]:
@@ -188,11 +191,9 @@ def repair_sentences(parts: Sequence[str]) -> list[str]:
     return own
 
 
-def repaired(c: Column) -> Column:
-    def run(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: None if a is None else repair_sentences(list(a)))
-
-    return F.pandas_udf(run, "array<string>")(c)
+def repaired(df: DataFrame, keys: list[str], parts: str) -> DataFrame:
+    """(keys, pos, sentence): a row for each sentence that the pieces of an array make."""
+    return rows_of(df, keys, parts, lambda a: enumerate(repair_sentences(a or [])), {"pos": "int", "sentence": "string"})
 
 
 def consume(c: Column, patterns: Sequence[tuple[str, str]], none: str = "NR") -> Column:

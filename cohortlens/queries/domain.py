@@ -291,7 +291,7 @@ def _(t):
 
 @query("T9_repaired_sentences")
 def _(t):
-    return t.conversations.select("conv_id", "turn", F.posexplode(docs.repaired(text.sentences(F.col("text")))).alias("pos", "sentence"))
+    return docs.repaired(t.conversations.withColumn("parts", text.sentences(F.col("text"))), ["conv_id", "turn"], "parts")
 
 
 CHECKS = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p, _ in docs.CHECKS)

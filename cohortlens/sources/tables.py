@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.documents import html_sections
+from ..functions.memory import rows_of
+from ..plans.documents import SECTION, html_sections, section_rows
 
 
 def _blanks(df: DataFrame, na: Sequence[str]) -> DataFrame:
@@ -109,11 +110,7 @@ def xml_sections(raw: str) -> list[dict]:
 def xml_section_rows(df: DataFrame, xml: str, *keys: str) -> DataFrame:
     """(keys, pos, level, title, text) of a column of XML articles; what isn't XML gives no rows."""
 
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda raw: xml_sections(raw or ""))
-
-    parse = F.pandas_udf(run, "array<struct<pos:int,level:int,title:string,text:string>>")
-    return df.select(*keys, F.explode(parse(xml)).alias("s")).select(*keys, "s.*")
+    return rows_of(df, list(keys), xml, lambda raw: section_rows(xml_sections(raw or "")), SECTION)
 
 
 def scan_xml_sections(spark: SparkSession, path: str) -> DataFrame:

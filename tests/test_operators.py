@@ -131,3 +131,15 @@ def test_chunks_leave_as_they_are_found(spark, monkeypatch):
         assert sorted(map(tuple, documents.chunks(df, "doc_id", "text").collect())) == want
     plan = documents.chunks(df, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_sections_leave_as_they_are_found(spark, monkeypatch):
+    from cohortlens.functions import memory
+
+    pages = [None, "", "<p>a</p>", "<h1>T</h1><p>a b</p><h2>U</h2>c<h3>V</h3>"] * 3
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1)
+    want = sorted((k, s["pos"], s["level"], s["title"], s["text"]) for k, p in enumerate(pages) for s in documents.parse_sections(p))
+    for flush in (1, 200, 1 << 20):
+        monkeypatch.setattr(memory, "FLUSH", flush)
+        assert sorted(map(tuple, documents.html_sections(df, "page_id", "html").collect())) == want
+    assert "ArrowEvalPython" not in documents.html_sections(df, "page_id", "html")._jdf.queryExecution().executedPlan().toString()

@@ -35,6 +35,21 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df.hint("merge")
 
 
+# Rows of a large table that a task sorts or groups: some hundred megabytes.
+ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, which has about so many rows, dealt by its keys to tasks of ROWS rows or less; a few tasks' rows are left to Spark.
+
+    Spark's number of partitions is fixed, or goes by compressed bytes: with either, a task's sorts and hash tables
+    grow with the table. Joins and groups by these keys need no other shuffle.
+    """
+    if rows <= 4 * ROWS:
+        return df
+    return df.repartition(max(-(-rows // ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def contains_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term", ignore_case: bool = True) -> DataFrame:
     """(key, term) where the text holds the term as whole words.
 

@@ -14,12 +14,17 @@ WORLDS = [("AMERICA", "Americas"), ("ASIA", "Asia"), ("EUROPE", "Europe")]
 CAT = "CASE r_name WHEN 'AMERICA' THEN 'Americas' WHEN 'ASIA' THEN 'Asia' WHEN 'EUROPE' THEN 'Europe' ELSE r_name END"
 
 
-def facts(t):
-    """Quantities by region and order date: the fact table of the representation queries."""
-    own = t.lineitem.select("l_orderkey", "l_quantity", "l_partkey").join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    own = own.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+def facts(t, parts=None):
+    """Quantities by region and order date: the fact table of the representation queries; with columns of ``parts``, if given."""
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = joins.dealt(orders, orders.count(), "o_custkey").join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    return own.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = orders.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    own = t.lineitem.select("l_orderkey", "l_quantity", "l_partkey")
+    n = own.count()
+    if parts is not None:
+        own = joins.dealt(own, n, "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return joins.dealt(own, n, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 FACTS = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -61,7 +66,8 @@ PROFILE = f"SELECT trait, sum(t) AS total_n, coalesce(sum(g), 0) AS group_n, cou
 
 
 def profile(t):
-    own = facts(t).join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    # Parts are met first: grouping by trait and order then finds the rows dealt by order.
+    own = facts(t, t.part.select("p_partkey", "p_name"))
     return rep.trait_profile(own.withColumnRenamed("p_name", "trait"), "trait", "l_orderkey", "l_quantity", F.col("r_name") == "EUROPE")
 
 

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cohortlens.queries import QUERIES, SQL
@@ -36,3 +37,17 @@ def test_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["B3_group_totals", "B4_running_total_by_group", "B6_trait_profile", "B7_trait_correlations"])
+def test_large_tables_are_dealt_to_more_tasks(spark, duck, name, monkeypatch):
+    """Tasks grow in number with the table, not in rows, and the results stay."""
+    from cohortlens.operators import joins
+    from cohortlens.queries.domain import facts
+    from cohortlens.queries.registry import Tables
+
+    monkeypatch.setattr(joins, "ROWS", 200)
+    most = facts(Tables(spark, DATA)).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 3 * 200
+    df, want = QUERIES[name](spark, DATA), duck.sql(SQL[name])
+    assert values(df.columns, df.collect()) == values(want.columns, want.fetchall())

@@ -256,8 +256,13 @@ def _(t):
 
 @query("E7_cocitation", "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
 def _(t):
-    own = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
+    own = t.lineitem.select("l_orderkey", "l_suppkey")
+    n = own.count()
+    own = joins.dealt(own, n, "l_orderkey").distinct()
     pairs = own.withColumnRenamed("l_suppkey", "a").join(own.withColumnRenamed("l_suppkey", "b"), "l_orderkey").where("a < b")
+    if n > joins.ROWS:
+        size = own.groupBy("l_orderkey").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+        pairs = joins.dealt(pairs, size or 0, "a", "b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
